@@ -43,11 +43,15 @@ def build_features(
     train_end: date = model.TRAIN_END,
     val_end: date = model.VAL_END,
     settled: DataFrame | None = None,
+    active: DataFrame | None = None,
 ) -> DataFrame:
-    """Validate, grid, impute, roll, relate to neighbours, label. One lazy plan."""
-    active = readings.select("station_id").distinct()
-    if settled is not None:
-        active = active.union(settled.select("station_id")).distinct()
+    """Validate, grid, impute, roll, relate to neighbours, label. One lazy plan.
+
+    ``settled`` holds final imputed hours that are taken as they are, and
+    ``active`` the stations with data where ``readings`` is only a part of it.
+    """
+    if active is None:
+        active = readings.select("station_id").distinct()
     base = add_rolling_lags(imputed_grid(readings, settled))
     full = add_spatial(base, edges, stations, active)
     labelled = add_calendar(full).withColumn(
