@@ -25,10 +25,12 @@ def add_batch(df: DataFrame, ts: str, batches: int = 4) -> DataFrame:
 
 
 def melted(df: DataFrame, features: tuple, *keep: Column | str) -> DataFrame:
+    """Long form. Values are rounded to 9 places: weighted means that are equal but
+    for the order of summation must fall on the same side of a bin edge."""
     return df.select(
         *keep,
         F.inline(
-            F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features])
+            F.array(*[F.struct(F.lit(f).alias("feature"), F.round(F.col(f), 9).alias("value")) for f in features])
         ),
     ).where(F.col("value").isNotNull())
 
