@@ -134,7 +134,7 @@ def median_of(values: Column) -> Column:
         above = F.get(s, F.floor(n / 2).cast("int"))
         return (below + above) / 2
 
-    return let(F.array_sort(F.array_compact(values)), middle)
+    return let(F.sort_array(F.array_compact(values)), middle)
 
 
 def quantile_of(ordered: Column, q: float) -> Column:

@@ -21,7 +21,7 @@ MEDIAN_MAX = 24
 SHORT_DAYS = 7
 LONG_DAYS = 14
 MIN_SAMPLES = 4
-_FOLD_DAYS = 64
+_FOLD_DAYS = 32
 
 
 def linear_and_pending(
@@ -35,25 +35,27 @@ def linear_and_pending(
     """
     params = model.PARAMETERS
     hour = hour_number(F.col("timestamp"))
-    whole = W.partitionBy("station_id", "block")
     past = in_time().rowsBetween(W.unboundedPreceding, W.currentRow)
     ahead = back_in_time().rowsBetween(W.unboundedPreceding, W.currentRow)
 
-    def seen(p: str) -> Column:
-        return F.when(F.col(p).isNotNull(), F.struct(hour.alias("h"), F.col(p).alias("v")))
+    def known(side: str, order) -> dict[str, Column]:
+        """Hour and value of the nearest known reading per parameter, and the outermost hour."""
+        found = {f"_{side}_end": F.first("_h").over(order)}
+        for p in params:
+            found[f"_{side}h_{p}"] = F.last(F.when(F.col(p).isNotNull(), F.col("_h")), True).over(order)
+            found[f"_{side}v_{p}"] = F.last(p, True).over(order)
+        return found
 
-    marked = grid.withColumns({f"_l_{p}": F.last(seen(p), True).over(past) for p in params})
-    marked = marked.withColumns({f"_r_{p}": F.last(seen(p), True).over(ahead) for p in params})
-    marked = marked.withColumns(
-        {"_lo": F.min(hour).over(whole), "_hi": F.max(hour).over(whole), "_h": hour}
-    ).where(F.col("block") == block_of(F.col("timestamp")))
+    marked = grid.withColumn("_h", hour).withColumns(known("l", past)).withColumns(known("r", ahead))
+    marked = marked.where(F.col("block") == block_of(F.col("timestamp")))
 
     values, pending = [], F.lit(0)
     for bit, p in enumerate(params):
-        left, right = F.col(f"_l_{p}"), F.col(f"_r_{p}")
-        gap = F.coalesce(right["h"], F.col("_hi") + 1) - F.coalesce(left["h"], F.col("_lo") - 1) - 1
+        left_h, left_v = F.col(f"_lh_{p}"), F.col(f"_lv_{p}")
+        right_h, right_v = F.col(f"_rh_{p}"), F.col(f"_rv_{p}")
+        gap = F.coalesce(right_h, F.col("_r_end") + 1) - F.coalesce(left_h, F.col("_l_end") - 1) - 1
         missing = F.col(p).isNull()
-        line = left["v"] + (right["v"] - left["v"]) * (F.col("_h") - left["h"]) / (gap + 1)
+        line = left_v + (right_v - left_v) * (F.col("_h") - left_h) / (gap + 1)
         value = F.when(missing & (gap <= linear_max), line).otherwise(F.col(p))
         waits = missing & gap.between(linear_max + 1, median_max)
         if "settled" in grid.columns:
@@ -65,6 +67,19 @@ def linear_and_pending(
     return marked.select("station_id", "timestamp", *values, pending.alias("pending"))
 
 
+def _middle(ordered: Column, most_nulls: int) -> Column:
+    """Median of a sorted ``SHORT_DAYS`` array that starts with at most ``most_nulls`` nulls."""
+
+    def between(nulls: int) -> Column:
+        low, high = (SHORT_DAYS - 1 + nulls) // 2, (SHORT_DAYS + nulls) // 2
+        return (F.get(ordered, F.lit(low)) + F.get(ordered, F.lit(high))) / 2
+
+    out = F.when(F.get(ordered, F.lit(0)).isNotNull(), between(0))
+    for nulls in range(1, most_nulls):
+        out = out.when(F.get(ordered, F.lit(nulls)).isNotNull(), between(nulls))
+    return out.otherwise(between(most_nulls))
+
+
 def _fold(days: Column, param: str, bit: int) -> Column:
     """Walk the days of one (station, hour-of-day) in order, filling as we go.
 
@@ -73,11 +88,15 @@ def _fold(days: Column, param: str, bit: int) -> Column:
     """
 
     def fill(so_far: Column) -> Column:
-        def pick(long: Column) -> Column:
-            short = F.array_compact(F.slice(long, LONG_DAYS - SHORT_DAYS + 1, SHORT_DAYS))
-            return median_of(F.when(F.size(short) >= MIN_SAMPLES, short).otherwise(F.array_compact(long)))
+        # sorted with nulls first, enough values are there when this place holds one
+        enough = SHORT_DAYS - MIN_SAMPLES
+
+        def pick(short: Column) -> Column:
+            return F.when(F.get(short, F.lit(enough)).isNotNull(), _middle(short, enough)).otherwise(
+                median_of(F.slice(so_far, -LONG_DAYS, LONG_DAYS))
+            )
 
-        return let(F.slice(so_far, -LONG_DAYS, LONG_DAYS), pick)
+        return let(F.sort_array(F.slice(so_far, -SHORT_DAYS, SHORT_DAYS)), pick)
 
     def waits(day: Column) -> Column:
         return day["pending"].bitwiseAND(1 << bit) != 0
@@ -92,7 +111,11 @@ def _fold(days: Column, param: str, bit: int) -> Column:
             F.slice(F.element_at(done, -1), -LONG_DAYS, LONG_DAYS)
         )
         stretch = F.slice(days, nr * _FOLD_DAYS + 1, _FOLD_DAYS)
-        return F.array_append(done, F.aggregate(stretch, before, add_day))
+        return F.array_append(done, let(stretch, lambda s: add_days(before, s)))
+
+    def add_days(before: Column, stretch: Column) -> Column:
+        as_is = F.concat(before, F.transform(stretch, lambda d: d[param]))
+        return F.when(F.exists(stretch, waits), F.aggregate(stretch, before, add_day)).otherwise(as_is)
 
     stretches = F.sequence(F.lit(0), F.floor((F.size(days) - 1) / _FOLD_DAYS).cast("int"))
     folded = F.aggregate(stretches, F.array().cast("array<array<double>>"), add_stretch)

@@ -91,6 +91,8 @@ def neighbor_means(features: DataFrame, edges: DataFrame, settings: list | None
     rows = with_halo(features, before=max(k for _, k in _LAGGED.values()))
     routed = _sends_per_setting(rows, edges, settings) if settings else _sends(rows, edges)
     weight = F.col("send.weight")
+    # a contribution without any value changes no mean
+    routed = routed.where(weight.isNull() | F.coalesce(*_SOURCES).isNotNull())
     packed = routed.select(
         *by,
         F.col("send.to").alias("station_id"),

@@ -20,12 +20,12 @@ def fit_scaler(df: DataFrame, columns: list[str] | tuple = model.MODEL_INPUTS) -
     stats = []
     for c in columns:
         x = F.col(c).cast("double")
-        std = F.stddev_pop(x)
         stats.append(
             F.struct(
                 F.lit(c).alias("feature"),
                 F.avg(x).alias("mean"),
-                F.when(std == 0, 1.0).otherwise(std).alias("std"),
+                # merged partial deviations of a constant need not cancel to exactly 0
+                F.when(F.min(x) == F.max(x), 1.0).otherwise(F.stddev_pop(x)).alias("std"),
             )
         )
     return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
