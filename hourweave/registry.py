@@ -62,8 +62,8 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 # --- shared inputs ---------------------------------------------------------
-# Stations, edges and features are tables in the data model: written once per
-# session and folder, then read by every query that starts from them.
+# Readings, stations, edges and features are tables in the data model: written
+# once per session and folder, then read by every query that starts from them.
 
 _written: dict[tuple, DataFrame] = {}
 
@@ -77,7 +77,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 
 def readings(spark, d) -> DataFrame:
-    return fixtures.readings(spark, d)
+    return _table(spark, d, "readings", lambda: fixtures.readings(spark, d))
 
 
 def stations(spark, d) -> DataFrame:
@@ -142,7 +142,7 @@ def q_insert_new(spark, d):
     """Readings with a flag meet a table that holds the unflagged ones."""
     path = tables.ensure_tables(spark, scratch_path(spark, "store"))[tables.READINGS]
     schema = tables._schemas()[tables.READINGS]
-    r = written(readings(spark, d), "readings")
+    r = readings(spark, d)
     tables.insert_new(r.where("quality_flag = 0"), path, model.READING_KEY, schema)
     return tables.insert_new(r, path, model.READING_KEY, schema).drop("ingested_at")
 
@@ -459,7 +459,7 @@ def q_stream_features(spark, d):
     """Three stretches of messages, each read by a restarted stream, then the table."""
     root, inbox = scratch_path(spark, "stream"), scratch_path(spark, "inbox")
     checkpoint = scratch_path(spark, "stream-checkpoint")
-    all_readings = written(readings(spark, d), "readings")
+    all_readings = readings(spark, d)
     junk = spark.range(1).select(F.lit("{not json").alias("value"))
     for nr, (a, b) in enumerate([("2024-01-01", "2024-01-12"), ("2024-01-13", "2024-01-21"), ("2024-01-22", "2024-01-31")]):
         part = messages.to_message(tables.date_range(all_readings, a, b))
@@ -481,7 +481,7 @@ RAW_QUERIES = {
     "completeness_flagged": lambda s, d: checks.completeness_flagged(readings(s, d), threshold=95.0),
     "stage_counts": lambda s, d: checks.stage_counts(readings(s, d)),
     "extent": lambda s, d: checks.extent(readings(s, d)),
-    "lowest_poc": readings,
+    "lowest_poc": fixtures.readings,
     "clean_samples": q_clean_samples,
     "build_stations": q_build_stations,
     "stations_csv": q_stations_csv,

@@ -22,6 +22,7 @@ def local_session(name: str = "hourweave", cores: int | str = "*", partitions: i
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # many rows of work can hide in few bytes: let small shuffles keep their tasks
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "12g")
