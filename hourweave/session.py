@@ -33,6 +33,9 @@ def local_session(name: str = "hourweave", cores: int | str = "*", partitions: i
     return use_utc(spark)
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -45,9 +48,10 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="hourweave-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="hourweave-")
+    return _local_folders[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
