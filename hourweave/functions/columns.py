@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +58,15 @@ def by_parameter(values: dict, parameter: Column) -> Column:
 
 # --- calendar --------------------------------------------------------------
 
+def moment(when: datetime | date) -> Column:
+    """A UTC instant. Written as text, because a naive ``datetime`` literal would be
+    read in the zone of the driver machine."""
+    if isinstance(when, datetime) and when.tzinfo is not None:
+        when = when.astimezone(timezone.utc)
+    text = when.strftime("%Y-%m-%d %H:%M:%S") if isinstance(when, datetime) else f"{when} 00:00:00"
+    return F.lit(text).cast("timestamp")
+
+
 def calendar(ts: Column) -> dict[str, Column]:
     return {
         "hour_of_day": F.hour(ts),

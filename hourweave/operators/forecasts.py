@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourweave import model
-from hourweave.functions.columns import quantile_of
+from hourweave.functions.columns import moment, quantile_of
 from hourweave.operators.blocks import hour_number
 
 KEY = ("station_id", "window_start", "horizon")
@@ -22,8 +22,8 @@ KEY = ("station_id", "window_start", "horizon")
 
 def _start_hours(start: datetime, end: datetime, stride: int) -> tuple[Column, Column]:
     """Offset of the first start and the largest start number whose window fits."""
-    first = hour_number(F.lit(start).cast("timestamp"))
-    last = hour_number(F.lit(end).cast("timestamp"))
+    first = hour_number(moment(start))
+    last = hour_number(moment(end))
     return first, F.floor((last + 1 - model.HORIZONS[-1] - first) / stride)
 
 

@@ -36,46 +36,34 @@ def with_elevation_gap(edges: DataFrame, stations: DataFrame) -> DataFrame:
     )
 
 
-_SEND = "struct<to:string,weight:double>"
+def _sends(features: DataFrame, edges: DataFrame, settings: list | None) -> DataFrame:
+    """Each row once per listening station (``to``, ``weight``) and once for its own
+    station with a null weight; with ``settings`` all of that per (lam, cutoff).
 
-
-def _sends(features: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows with a ``send`` struct: one to the station itself, one per listener."""
-    listeners = edges.groupBy(F.col("neighbor_id").alias("station_id")).agg(
-        F.collect_list(F.struct(F.col("station_id").alias("to"), "weight")).alias("sends")
-    )
-    to_self = F.array(F.struct(F.col("station_id").alias("to"), F.lit(None).cast("double").alias("weight")))
-    others = F.coalesce("sends", F.array().cast(f"array<{_SEND}>"))
-    return (
-        features.join(listeners, "station_id", "left")
-        .withColumn("send", F.explode(F.concat(to_self, others)))
-        .drop("sends", "station_id")
-    )
-
-
-def _sends_per_setting(features: DataFrame, edges: DataFrame, settings: list) -> DataFrame:
-    """The same for several edge sets (lam, cutoff) in one pass over the rows."""
-    listeners = edges.groupBy(F.col("neighbor_id").alias("station_id")).agg(
-        F.collect_list(
-            F.struct("lam", "cutoff", F.struct(F.col("station_id").alias("to"), "weight").alias("send"))
-        ).alias("sends")
+    One join: senders also list themselves, and stations without listeners come
+    out of the left join unmatched. No hint, so Spark broadcasts the edges
+    only while they are small and can split a station that holds many rows.
+    """
+    by = ["lam", "cutoff"] if settings else []
+    heard = edges.select(
+        *by, F.col("neighbor_id").alias("station_id"), F.col("station_id").alias("to"), "weight"
     )
-    to_self = F.array(
+    every = F.array(
         *[
-            F.struct(
-                F.lit(float(lam)).alias("lam"),
-                F.lit(float(cutoff)).alias("cutoff"),
-                F.struct(F.col("station_id").alias("to"), F.lit(None).cast("double").alias("weight")).alias("send"),
-            )
-            for lam, cutoff in settings
+            F.struct(F.lit(float(lam)).alias("lam"), F.lit(float(cutoff)).alias("cutoff"))
+            for lam, cutoff in settings or []
         ]
     )
-    others = F.coalesce("sends", F.array().cast(f"array<struct<lam:double,cutoff:double,send:{_SEND}>>"))
-    rows = features.join(listeners, "station_id", "left").withColumn(
-        "out", F.explode(F.concat(to_self, others))
-    )
-    kept = [c for c in features.columns if c != "station_id"]
-    return rows.select(*kept, "out.lam", "out.cutoff", "out.send")
+    senders = heard.select("station_id").distinct()
+    if settings:
+        senders = senders.select("station_id", F.inline(every))
+    own = senders.select(*by, "station_id", F.col("station_id").alias("to"), F.lit(None).cast("double").alias("weight"))
+    routed = features.join(heard.unionByName(own), "station_id", "left")
+    if settings:
+        this = F.array(F.struct("lam", "cutoff"))
+        routed = routed.withColumn("_s", F.explode(F.when(F.col("to").isNull(), every).otherwise(this)))
+        routed = routed.withColumns({c: F.col(f"_s.{c}") for c in by}).drop("_s")
+    return routed.withColumn("station_id", F.coalesce("to", "station_id")).drop("to")
 
 
 def neighbor_means(features: DataFrame, edges: DataFrame, settings: list | None = None) -> DataFrame:
@@ -89,17 +77,17 @@ def neighbor_means(features: DataFrame, edges: DataFrame, settings: list | None
     keep = [c for c in features.columns if c not in ("station_id", "timestamp")]
     by = ["lam", "cutoff"] if settings else []
     rows = with_halo(features, before=max(k for _, k in _LAGGED.values()))
-    routed = _sends_per_setting(rows, edges, settings) if settings else _sends(rows, edges)
-    weight = F.col("send.weight")
+    weight = F.col("weight")
+    routed = _sends(rows, edges, settings)
     # a contribution without any value changes no mean
     routed = routed.where(weight.isNull() | F.coalesce(*_SOURCES).isNotNull())
     packed = routed.select(
         *by,
-        F.col("send.to").alias("station_id"),
+        "station_id",
         "block",
         "timestamp",
         F.when(weight.isNull(), F.struct(*keep)).alias("own"),
-        weight.alias("weight"),
+        "weight",
         *[F.when(weight.isNotNull(), F.col(s)).alias(f"_{s}") for s in _SOURCES],
     )
     merged = (

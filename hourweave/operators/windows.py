@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourweave import model
-from hourweave.operators.blocks import hour_number, in_time, own_rows, with_halo
+from hourweave.functions.columns import moment
+from hourweave.operators.blocks import block_of, hour_number, in_time, own_rows, with_halo
 from hourweave.operators.ordered import dense_index
 
 
@@ -116,9 +117,9 @@ def rolling_instances(
     packed arrays rather than every hour (context + horizon) / stride times.
     """
     slot = math.gcd(stride, context, horizon)
-    first = F.lit(start).cast("timestamp")
+    first = moment(start)
     at = hour_number(F.col("timestamp")) - hour_number(first)
-    last_start = hour_number(F.lit(end).cast("timestamp")) - hour_number(first) + 1 - horizon
+    last_start = hour_number(moment(end)) - hour_number(first) + 1 - horizon
     packed = (
         df.where((at >= -context) & (at < last_start + horizon))
         .select(
@@ -165,9 +166,7 @@ def series_dataset(df: DataFrame, until: datetime | None = None) -> DataFrame:
     A station's series is the concatenation of its parts in ``part`` order; a
     single array per station would grow without bound.
     """
-    from hourweave.operators.blocks import block_of
-
-    rows = df if until is None else df.where(F.col("timestamp") <= F.lit(until).cast("timestamp"))
+    rows = df if until is None else df.where(F.col("timestamp") <= moment(until))
     packed = rows.select(
         "station_id",
         block_of(F.col("timestamp")).alias("part"),

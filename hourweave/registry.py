@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourweave import fixtures, model
-from hourweave.functions.columns import add_calendar, assign_split
+from hourweave.functions.columns import add_calendar, assign_split, moment
 from hourweave.operators import alerts, checks, drift
 from hourweave.operators import forecasts as fc
 from hourweave.operators.clean import build_stations, clean_samples
@@ -295,8 +295,8 @@ def q_exclude_frm(spark, d):
 
 
 def q_encoder_context(spark, d):
-    start = F.lit(BOUNDS["test"][0]).cast("timestamp")
-    return tables.encoder_context(features(spark, d).select("station_id", "timestamp", "pm25"), start)
+    rows = features(spark, d).select("station_id", "timestamp", "pm25")
+    return tables.encoder_context(rows, moment(BOUNDS["test"][0]))
 
 
 def q_history_merge(spark, d):
@@ -511,6 +511,9 @@ RAW_QUERIES = {
     "encoder_context": q_encoder_context,
     "history_merge": q_history_merge,
     "history_lookup": q_history_lookup,
+    "batch_hours": lambda s, d: stream.only_batch_hours(
+        features(s, d).select("station_id", "timestamp", "pm25", "split"), readings(s, d).where("parameter = 'co'")
+    ),
     "scaler": train_scaler,
     "scaled_features": q_scaled,
     "training_windows": q_training_windows,

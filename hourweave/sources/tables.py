@@ -65,7 +65,13 @@ def insert_new(batch: DataFrame, target_path: str, pk: list[str] | tuple, schema
     if "ingested_at" in schema.names and "ingested_at" not in batch.columns:
         shaped = shaped.withColumn("ingested_at", F.current_timestamp())
     shaped = shaped.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-    fresh = written(new_rows(shaped, read_table(spark, target_path, schema), pk), "insert")
+    # equal keys have equal timestamps: only that stretch of the target is read
+    span = shaped.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
+    target = read_table(spark, target_path, schema)
+    if span["a"] is not None:
+        low, high = (F.lit(t).cast("timestamp") for t in (span["a"], span["b"]))
+        target = target.where(F.col("timestamp").between(low, high))
+    fresh = written(new_rows(shaped, target, pk), "insert")
     fresh.write.mode("append").parquet(target_path)
     return fresh
 

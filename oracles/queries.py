@@ -439,6 +439,10 @@ SQL: dict[str, str] = {
         reading("readings", "WHERE timestamp >= TIMESTAMP '2024-01-10' AND timestamp < TIMESTAMP '2024-01-20' AND split_part(station_id, '-', 2) = '071'"),
         "readings",
     ),
+    "batch_hours": compose(
+        f"SELECT station_id, timestamp, {rs('pm25')}, split FROM features WHERE (station_id, timestamp) IN (SELECT (station_id, timestamp) FROM readings WHERE parameter = 'co')",
+        "features", "readings",
+    ),
     "scaler": compose(f"SELECT feature, {rs('mean', 'std')} FROM scaler", "features", extra=(scaler_cte(),)),
     "scaled_features": compose(
         f"SELECT station_id, timestamp, {rs(*model.MODEL_INPUTS)} FROM scaled", "features", extra=(scaler_cte(), scaled_cte())
