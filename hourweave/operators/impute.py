@@ -80,8 +80,8 @@ def _middle(ordered: Column, most_nulls: int) -> Column:
     return out.otherwise(between(most_nulls))
 
 
-def _fold(days: Column, param: str, bit: int) -> Column:
-    """Walk the days of one (station, hour-of-day) in order, filling as we go.
+def _fold(days: Column, nr: Column) -> Column:
+    """Walk the days of one (station, hour-of-day) in order, filling parameter ``nr``.
 
     The accumulator holds the last 14 days and the current stretch of days;
     finished stretches are set aside, so the work stays linear in the days.
@@ -98,23 +98,28 @@ def _fold(days: Column, param: str, bit: int) -> Column:
 
         return let(F.sort_array(F.slice(so_far, -SHORT_DAYS, SHORT_DAYS)), pick)
 
+    bits = F.array(*[F.lit(1 << bit) for bit in range(len(model.PARAMETERS))])
+
+    def value(day: Column) -> Column:
+        return F.get(day["v"], nr)
+
     def waits(day: Column) -> Column:
-        return day["pending"].bitwiseAND(1 << bit) != 0
+        return day["pending"].bitwiseAND(F.get(bits, nr)) != 0
 
     def add_day(so_far: Column, day: Column) -> Column:
-        return F.array_append(so_far, F.when(waits(day), fill(so_far)).otherwise(day[param]))
+        return F.array_append(so_far, F.when(waits(day), fill(so_far)).otherwise(value(day)))
 
     nothing = F.array_repeat(F.lit(None).cast("double"), LONG_DAYS)
 
-    def add_stretch(done: Column, nr: Column) -> Column:
+    def add_stretch(done: Column, part: Column) -> Column:
         before = F.when(F.size(done) == 0, nothing).otherwise(
             F.slice(F.element_at(done, -1), -LONG_DAYS, LONG_DAYS)
         )
-        stretch = F.slice(days, nr * _FOLD_DAYS + 1, _FOLD_DAYS)
+        stretch = F.slice(days, part * _FOLD_DAYS + 1, _FOLD_DAYS)
         return F.array_append(done, let(stretch, lambda s: add_days(before, s)))
 
     def add_days(before: Column, stretch: Column) -> Column:
-        as_is = F.concat(before, F.transform(stretch, lambda d: d[param]))
+        as_is = F.concat(before, F.transform(stretch, value))
         return F.when(F.exists(stretch, waits), F.aggregate(stretch, before, add_day)).otherwise(as_is)
 
     stretches = F.sequence(F.lit(0), F.floor((F.size(days) - 1) / _FOLD_DAYS).cast("int"))
@@ -122,7 +127,7 @@ def _fold(days: Column, param: str, bit: int) -> Column:
     filled = F.flatten(
         F.transform(folded, lambda s: F.slice(s, LONG_DAYS + 1, F.greatest(F.size(s) - LONG_DAYS, F.lit(0))))
     )
-    return F.when(F.exists(days, waits), filled).otherwise(F.transform(days, lambda d: d[param]))
+    return F.when(F.exists(days, waits), filled).otherwise(F.transform(days, value))
 
 
 def fill_pending(df: DataFrame) -> DataFrame:
@@ -131,15 +136,18 @@ def fill_pending(df: DataFrame) -> DataFrame:
     on its own. A group holds one element per day of record, whatever the load.
     """
     params = model.PARAMETERS
-    days = F.sort_array(F.collect_list(F.struct("timestamp", *params, "pending")))
+    days = F.sort_array(F.collect_list(F.struct("timestamp", F.array(*params).alias("v"), "pending")))
     grouped = (
         df.withColumn("_hod", F.hour("timestamp")).groupBy("station_id", "_hod").agg(days.alias("days"))
     )
+    numbers = F.sequence(F.lit(0), F.lit(len(params) - 1))
     filled = grouped.select(
+        "station_id", "days", F.transform(numbers, lambda nr: _fold(F.col("days"), nr)).alias("by_param")
+    ).select(
         "station_id",
         F.arrays_zip(
             F.col("days.timestamp").alias("timestamp"),
-            *[_fold(F.col("days"), p, bit).alias(p) for bit, p in enumerate(params)],
+            *[F.col("by_param")[nr].alias(p) for nr, p in enumerate(params)],
         ).alias("z"),
     )
     # the outer form keeps Spark from testing size(z) > 0 first, which would fold twice
