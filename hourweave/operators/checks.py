@@ -203,11 +203,15 @@ def silent_months(readings: DataFrame) -> DataFrame:
 
 # --- values ----------------------------------------------------------------
 
-def implausible_values(readings: DataFrame) -> DataFrame:
+def _implausible() -> Column:
     bad = F.lit(False)
     for p, bounds in model.PLAUSIBLE_BOUNDS.items():
         bad = bad | ((F.col("parameter") == p) & outside(F.col("value"), bounds))
-    return readings.where(bad)
+    return bad
+
+
+def implausible_values(readings: DataFrame) -> DataFrame:
+    return readings.where(_implausible())
 
 
 def implausible_counts(readings: DataFrame) -> DataFrame:
@@ -283,9 +287,6 @@ def check_summary(
         return violations.agg(_count().alias("n_violations")).select(F.lit(name).alias("check"), "n_violations")
 
     def one_pass() -> DataFrame:
-        bad_value = F.lit(False)
-        for p, bounds in model.PLAUSIBLE_BOUNDS.items():
-            bad_value = bad_value | ((F.col("parameter") == p) & outside(F.col("value"), bounds))
         low, high = first - timedelta(days=1), last + timedelta(days=1)
         ts = F.col("timestamp")
         tests = {
@@ -300,7 +301,7 @@ def check_summary(
             "out_of_range_ts": F.count_if(
                 (ts < F.lit(low).cast("timestamp")) | (ts > F.lit(high).cast("timestamp"))
             ),
-            "implausible_value": F.count_if(bad_value),
+            "implausible_value": F.count_if(_implausible()),
             "wrong_unit": F.count_if(F.col("unit") != by_parameter(model.UNITS, F.col("parameter"))),
             "o3_at_limit": F.count_if((F.col("parameter") == "o3") & (F.col("value") >= 0.5)),
             "too_few_rows": F.when(_count() < min_rows, 1).otherwise(0).cast("bigint"),

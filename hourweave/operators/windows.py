@@ -161,7 +161,7 @@ def rolling_instances(
 
 
 def series_dataset(df: DataFrame, until: datetime | None = None) -> DataFrame:
-    """One row per (station, block of days): start, target array, calendar arrays.
+    """One row per (station, time block): start, target array, calendar arrays.
 
     A station's series is the concatenation of its parts in ``part`` order; a
     single array per station would grow without bound.

@@ -141,7 +141,7 @@ def q_stations_csv(spark, d):
 def q_insert_new(spark, d):
     """Readings with a flag meet a table that holds the unflagged ones."""
     path = tables.ensure_tables(spark, scratch_path(spark, "store"))[tables.READINGS]
-    schema = tables._schemas()[tables.READINGS]
+    schema = tables.table_schemas()[tables.READINGS]
     r = readings(spark, d)
     tables.insert_new(r.where("quality_flag = 0"), path, model.READING_KEY, schema)
     return tables.insert_new(r, path, model.READING_KEY, schema).drop("ingested_at")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourweave import model
+from hourweave.session import written
 
 READINGS = "readings"
 FEATURES = "features"
@@ -20,21 +21,21 @@ def read_readings(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in model.READING_SCHEMA.fields])
 
 
-def _schemas() -> dict[str, T.StructType]:
+def table_schemas() -> dict[str, T.StructType]:
     ingested = T.StructField("ingested_at", T.TimestampType())
     return {READINGS: T.StructType([*model.READING_SCHEMA.fields, ingested]), FEATURES: model.FEATURE_SCHEMA}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def ensure_tables(spark: SparkSession, root: str) -> dict[str, str]:
     """Create the two tables where absent; returns their paths."""
-    paths = {name: f"{root}/{name}" for name in _schemas()}
-    for name, schema in _schemas().items():
-        if not _exists(spark, paths[name]):
+    paths = {name: f"{root}/{name}" for name in table_schemas()}
+    for name, schema in table_schemas().items():
+        if not path_exists(spark, paths[name]):
             spark.createDataFrame([], schema).write.parquet(paths[name])
     return paths
 
@@ -55,8 +56,6 @@ def insert_new(batch: DataFrame, target_path: str, pk: list[str] | tuple, schema
     The inserted rows are written first and read back, so the returned frame
     does not depend on the target that has just grown.
     """
-    from hourweave.session import written
-
     spark = batch.sparkSession
     shaped = batch
     if "quality_flag" in schema.names:

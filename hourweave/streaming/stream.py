@@ -22,6 +22,8 @@ from hourweave.functions.columns import finite
 from hourweave.operators.clean import last_by
 from hourweave.operators.impute import LONG_DAYS, MEDIAN_MAX
 from hourweave.plans.features import build_features
+from hourweave.sources.messages import to_message
+from hourweave.sources.tables import path_exists
 
 _REACH = MEDIAN_MAX + 1
 LOOKBACK_HOURS = LONG_DAYS * 24 + 24
@@ -42,11 +44,9 @@ def _folder(root: str, log: str, batch_id: int) -> str:
 
 def _log(spark: SparkSession, root: str, log: str, schema: T.StructType) -> DataFrame:
     """A log with its ``batch_id``; empty before the first batch."""
-    from hourweave.sources.tables import _exists
-
     full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
     path = f"{root}/{log}"
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], full)
     return spark.read.schema(full).parquet(path)
 
@@ -131,8 +131,6 @@ def process_batch(
     sink: Sink | None = None,
 ) -> None:
     """One micro-batch; see the module text. Safe to repeat with the same id."""
-    from hourweave.sources.messages import to_message
-
     spark = batch.sparkSession
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     here = _folder(root, _READINGS, batch_id)

@@ -64,7 +64,7 @@ def test_build_stations(spark, tmp_path):
 def test_insert_is_idempotent_and_counts_inserted_rows(spark, tmp_path):
     paths = tables.ensure_tables(spark, str(tmp_path))
     assert tables.ensure_tables(spark, str(tmp_path)) == paths
-    schema = tables._schemas()[tables.READINGS]
+    schema = tables.table_schemas()[tables.READINGS]
     r = readings_frame(spark, [("a", "pm25", 1, 0), ("a", "pm25", 2, 1)])
     target = paths[tables.READINGS]
     assert tables.insert_new(r, target, model.READING_KEY, schema).count() == 2
