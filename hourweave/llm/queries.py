@@ -2,22 +2,57 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourweave.llm import quality
+from hourweave.llm import pieces, quality, substrings
+
+try:
+    import public_tokenizers
+
+    TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
+except ModuleNotFoundError:  # the vocabulary files are no part of this library; name another place
+    TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    # workers import this package; a cluster gets it by --py-files, a local session from here
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if _ROOT not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, _ROOT]))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_substring_dedup(spark, d):
+    cut = substrings.remove_repeats(_read(spark, d, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["first"])
+    return cut.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality_rules(spark, d):
     judged = quality.judge(_read(spark, d, "documents"), quality.trusted_sample(_read(spark, d, "labels")))
     return judged.select(F.col("row.doc_id").alias("doc_id"), *[c for c in judged.columns if c != "row"])
 
 
+def op9_sentencepiece(spark, d):
+    model = pieces.read_model(TOKENIZER)
+    coded = pieces.encode_texts(_read(spark, d, "documents"), model)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 SQL: dict[str, str] = {}
