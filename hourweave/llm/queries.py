@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourweave.llm import pieces, quality, substrings
+from hourweave.llm import pieces, quality, similar, substrings
 
 try:
     import public_tokenizers
@@ -39,6 +39,11 @@ def op6_quality_rules(spark, d):
     return judged.select(F.col("row.doc_id").alias("doc_id"), *[c for c in judged.columns if c != "row"])
 
 
+def op7_ngram_jaccard(spark, d):
+    found = similar.similarity_classes(_read(spark, d, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_sentencepiece(spark, d):
     model = pieces.read_model(TOKENIZER)
     coded = pieces.encode_texts(_read(spark, d, "documents"), model)
@@ -53,6 +58,7 @@ def op9_sentencepiece(spark, d):
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_sentencepiece": op9_sentencepiece,
 }
 SQL: dict[str, str] = {}
