@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourweave.llm import pieces, quality, similar, substrings
+from hourweave.llm import hosts, mixing, pieces, quality, similar, substrings
 
 try:
     import public_tokenizers
@@ -34,6 +34,14 @@ def op2_substring_dedup(spark, d):
     return cut.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_source_mix(spark, d):
+    return mixing.assign(_read(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_url_filters(spark, d):
+    return hosts.judge_urls(_read(spark, d, "pages"))
+
+
 def op6_quality_rules(spark, d):
     judged = quality.judge(_read(spark, d, "documents"), quality.trusted_sample(_read(spark, d, "labels")))
     return judged.select(F.col("row.doc_id").alias("doc_id"), *[c for c in judged.columns if c != "row"])
@@ -57,8 +65,42 @@ def op9_sentencepiece(spark, d):
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_source_mix": op4_source_mix,
+    "op5_url_filters": op5_url_filters,
     "op6_quality_rules": op6_quality_rules,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_sentencepiece": op9_sentencepiece,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_source_mix": r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents),
+per AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+listed AS (
+  SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM per),
+weighed AS (
+  SELECT *, place % 3 + 1 AS weight, 3 * source_size AS full_size FROM listed),
+levels AS (
+  SELECT *, (sum(source_size) OVER ()
+             - coalesce(sum(full_size) OVER (ORDER BY full_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+            )::DOUBLE
+            / (sum(weight) OVER (ORDER BY full_size / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM weighed),
+chosen AS (
+  SELECT level AS water FROM levels WHERE level * weight <= full_size ORDER BY full_size / weight, place LIMIT 1),
+targets AS (
+  SELECT source, source_size, least(full_size::DOUBLE, water * weight) AS target FROM levels, chosen),
+streamed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, round(t.target)::BIGINT AS quota,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(s.doc_id::VARCHAR), s.doc_id, s.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS started
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0
+            ELSE (quota // source_size) * size
+                 + least(greatest(quota - (quota // source_size) * source_size - started, 0), size) END::BIGINT AS taken
+FROM streamed
+""",
+}
