@@ -7,7 +7,8 @@
    the places whose hash occurs more than once. A bucket's expected size is the number of
    windows over the number of buckets; one window that is repeated without end adds only
    its own entries to a single bucket.
-3. Places are joined to the documents by key, and merge into maximal removal intervals.
+3. The places go, again packed, to the tasks of their documents, merge there into maximal
+   removal intervals, and the intervals are joined to the documents by key.
 
 56 bits of a window's hash travel; with the bucket's bits two different windows agree
 with probability 2^-(56 + log2(buckets)), so the width grows with the number of buckets.
@@ -16,7 +17,6 @@ with probability 2^-(56 + log2(buckets)), so the width grows with the number of
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -143,76 +143,107 @@ def _windows(window: int, buckets: int):
     return batches
 
 
-def _repeated(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket the (document, places) whose window hash occurs more than once."""
+_MARKED = "target int, keys binary, counts binary, places binary"
+
+
+def _held(source: Iterator[pa.RecordBatch], read) -> Iterator[tuple[np.ndarray, ...]]:
+    """The packed rows of a partition, put together for each value of the first column."""
     held: dict[int, list[tuple[np.ndarray, ...]]] = {}
     for batch in source:
-        for b, h, k, c, p in zip(*[column.to_pylist() for column in batch.columns]):
-            wide = np.zeros((len(h) // 7, 8), np.uint8)
-            wide[:, :7] = np.frombuffer(h, np.uint8).reshape(-1, 7)
-            held.setdefault(b, []).append(
-                (wide.reshape(-1).view("<u8"), np.frombuffer(k, np.int64), _unplaned(c, "<u4").astype(np.int64), _unplaned(p, "<u4"))
-            )
-    for b in list(held):
-        h, keys, counts, steps = (np.concatenate(x) for x in zip(*held.pop(b)))
-        order = np.argsort(h)
-        same = np.diff(h[order]) == 0
-        twice = np.zeros(len(h), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        if not twice.any():
-            continue
-        owner = np.repeat(np.arange(len(keys)), counts)
-        sums = np.cumsum(steps.astype(np.int64))
-        first = np.cumsum(counts) - counts
-        place = sums - np.repeat(sums[first] - steps[first], counts)
-        owner, place = owner[twice], place[twice].astype(np.int32)
-        starts = np.flatnonzero(np.diff(owner, prepend=-1))
-        for a in range(0, len(starts), 20_000):
-            part = starts[a : a + 20_000]
-            end = starts[a + 20_000] if a + 20_000 < len(starts) else len(owner)
-            offsets = np.append(part, end) - part[0]
+        for name, *data in zip(*[column.to_pylist() for column in batch.columns]):
+            held.setdefault(name, []).append(read(*data))
+    for name in list(held):
+        yield tuple(np.concatenate(x) for x in zip(*held.pop(name)))
+
+
+def _with_steps(keys: bytes, counts: bytes, steps: bytes) -> tuple[np.ndarray, ...]:
+    """Per entry the document key and the place, from steps that start anew in every document."""
+    counts, steps = _unplaned(counts, "<u4").astype(np.int64), _unplaned(steps, "<u4").astype(np.int64)
+    sums, first = np.cumsum(steps), np.cumsum(counts) - counts
+    return np.repeat(np.frombuffer(keys, np.int64), counts), sums - np.repeat(sums[first] - steps[first], counts)
+
+
+def _repeated(targets: int):
+    """Of each bucket the places whose window hash occurs more than once, packed by target."""
+
+    def read(hashes: bytes, *packed: bytes) -> tuple[np.ndarray, ...]:
+        wide = np.zeros((len(hashes) // 7, 8), np.uint8)
+        wide[:, :7] = np.frombuffer(hashes, np.uint8).reshape(-1, 7)
+        return wide.reshape(-1).view("<u8"), *_with_steps(*packed)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, key, place in _held(source, read):
+            order = np.argsort(h)
+            same = np.diff(h[order]) == 0
+            twice = np.zeros(len(h), bool)
+            twice[order[1:][same]] = True
+            twice[order[:-1][same]] = True
+            key, place = key[twice], place[twice]
+            target = ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(targets) >> np.uint64(32)).astype(np.int32)
+            order = np.lexsort((place, key, target))
+            key, place, target = key[order], place[order], target[order]
+            edges = np.flatnonzero(np.diff(target, prepend=-1, append=-1)) if len(key) else np.zeros(1, np.int64)
+            rows = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                own, at = key[a:b], place[a:b]
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                steps = np.diff(at, prepend=0)
+                steps[first] = at[first]
+                counts = np.diff(first, append=b - a)
+                rows.append((int(target[a]), own[first].tobytes(), _planes(counts, "<u4"), _planes(steps, "<u4")))
+            columns = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys[owner[part]]),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(place[part[0] : end])),
-                ],
-                ["key", "places"],
+                [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
+                ["target", "keys", "counts", "places"],
             )
 
+    return batches
+
+
+_SPANS = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
-def _cut(window: int):
-    """(.., text, places) to the removed spans and the text that is left."""
+
+def _merged(window: int):
+    """Places of each document to maximal removal intervals, one row per document."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            n_words, spans, kept = [], [], []
-            for text, places in zip(batch.column("text"), batch.column("places")):
-                words = (text.as_py() or "").encode().split()
-                found = places.values
-                edge = np.zeros(len(words) + 1, np.int32)
-                if found is not None and len(found):
-                    at = found.flatten().to_numpy(zero_copy_only=False)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
-                covered = np.cumsum(edge[:-1]) > 0
-                turns = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0)).tolist()
-                n_words.append(len(words))
-                spans.append([{"first": a, "end": b} for a, b in zip(turns[::2], turns[1::2])])
-                kept.append(b" ".join(compress(words, (~covered).tolist()) if turns else words).decode())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(n_words, pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
-                    pa.array(kept, pa.string()),
-                ],
-                ["doc_id", "n_words", "removed", "kept"],
+        for key, place in _held(source, _with_steps):
+            order = np.lexsort((place, key))
+            key, place = key[order], place[order]
+            new = np.r_[True, key[1:] != key[:-1]]
+            begins = np.flatnonzero(new | np.r_[True, place[1:] > place[:-1] + window])
+            ends = np.r_[place[begins[1:] - 1], place[-1:]] + window
+            spans = pa.StructArray.from_arrays(
+                [pa.array(place[begins].astype(np.int32)), pa.array(ends.astype(np.int32))], ["first", "end"]
             )
+            first = np.flatnonzero(new[begins])
+            for a in range(0, len(first), 20_000):
+                part = np.append(first[a : a + 20_000], first[a + 20_000] if a + 20_000 < len(first) else len(begins))
+                lists = pa.ListArray.from_arrays(
+                    pa.array((part - part[0]).astype(np.int32)), spans.slice(part[0], part[-1] - part[0])
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(key[begins[part[:-1]]]), lists], ["key", "removed"])
 
     return batches
 
 
+def _cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(.., text, removed) to the number of words and the text that is left."""
+    for batch in source:
+        n_words, kept = [], []
+        removed = [r or [] for r in batch.column("removed").to_pylist()]
+        for text, spans in zip(batch.column("text"), removed):
+            words = (text.as_py() or "").encode().split()
+            n_words.append(len(words))
+            for span in reversed(spans):
+                del words[span["first"] : span["end"]]
+            kept.append(b" ".join(words).decode())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(removed, _SPANS), pa.array(kept, pa.string())],
+            ["doc_id", "n_words", "removed", "kept"],
+        )
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_words, removed, kept) for every row of ``docs``.
 
@@ -231,16 +262,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None =
     packed = keyed.where(F.col("text").isNotNull()).select("key", "text").mapInArrow(_windows(window, buckets), _PACKED)
     marks = (
         packed.repartitionById(buckets, "bucket")
-        .mapInArrow(_repeated, "key bigint, places array<int>")
-        .groupBy("key")
-        .agg(F.collect_list("places").alias("places"))
+        .mapInArrow(_repeated(buckets), _MARKED)
+        .repartitionById(buckets, "target")
+        .mapInArrow(_merged(window), "key bigint, removed array<struct<first:int,end:int>>")
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (
         keyed.join(marks, "key", "left")
-        .select("doc_id", "text", "places")
+        .select("doc_id", "text", "removed")
         .mapInArrow(
-            _cut(window),
+            _cut,
             f"doc_id {kind}, n_words bigint, removed array<struct<first:int,end:int>>, kept string",
         )
     )
