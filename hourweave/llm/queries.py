@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourweave.llm import hosts, mixing, pieces, quality, similar, substrings
+from hourweave.llm import hosts, language, mixing, nearest, pieces, quality, similar, substrings
 
 try:
     import public_tokenizers
@@ -28,6 +28,17 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _remainder(doc_id, n: int):
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(n))
+
+
+def op1_language_id(spark, d):
+    docs = _read(spark, d, "documents")
+    held_out = _remainder(F.col("doc_id"), 4) == 2
+    found = language.predict(docs, language.fit(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op2_substring_dedup(spark, d):
     cut = substrings.remove_repeats(_read(spark, d, "documents"))
     n_removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["first"])
@@ -52,6 +63,10 @@ def op7_ngram_jaccard(spark, d):
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op8_top_k(spark, d):
+    return nearest.top_k(_read(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_sentencepiece(spark, d):
     model = pieces.read_model(TOKENIZER)
     coded = pieces.encode_texts(_read(spark, d, "documents"), model)
@@ -64,11 +79,13 @@ def op9_sentencepiece(spark, d):
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_source_mix": op4_source_mix,
     "op5_url_filters": op5_url_filters,
     "op6_quality_rules": op6_quality_rules,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_top_k": op8_top_k,
     "op9_sentencepiece": op9_sentencepiece,
 }
 SQL: dict[str, str] = {
@@ -102,5 +119,19 @@ SELECT doc_id, size, source_size, target,
             ELSE (quota // source_size) * size
                  + least(greatest(quota - (quota // source_size) * source_size - started, 0), size) END::BIGINT AS taken
 FROM streamed
+""",
+    "op8_top_k": """
+WITH usable AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS code
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.code, v.code)::BIGINT AS score
+  FROM usable q JOIN usable v ON q.vec_id <> v.vec_id
+  WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
 }
