@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourweave.llm import hosts, language, mixing, nearest, pieces, quality, similar, substrings
+from hourweave.llm import hosts, language, lines, mixing, nearest, pieces, quality, similar, substrings
 
 try:
     import public_tokenizers
@@ -45,6 +45,11 @@ def op2_substring_dedup(spark, d):
     return cut.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_line_dedup(spark, d):
+    found = lines.duplicate_lines(_read(spark, d, "documents"))
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("bigint").alias("n_dropped"), "dropped")
+
+
 def op4_source_mix(spark, d):
     return mixing.assign(_read(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -81,6 +86,7 @@ def op9_sentencepiece(spark, d):
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_source_mix": op4_source_mix,
     "op5_url_filters": op5_url_filters,
     "op6_quality_rules": op6_quality_rules,
