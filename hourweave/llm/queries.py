@@ -7,14 +7,16 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourweave.llm import hosts, language, lines, mixing, nearest, pieces, quality, similar, substrings
+from hourweave.llm import attention, hosts, language, lines, mixing, nearest, pieces, quality, similar, substrings, unigrams
 
 try:
     import public_tokenizers
 
     TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
+    SUBWORDS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 except ModuleNotFoundError:  # the vocabulary files are no part of this library; name another place
     TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+    SUBWORDS, PATTERN = "/opt/tokenizers/byte_bpe_50k.tiktoken", r"\s?\S+|\s+"
 
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -83,6 +85,23 @@ def op9_sentencepiece(spark, d):
     )
 
 
+def op10_lm_scoring(spark, d):
+    docs = _read(spark, d, "documents")
+    held_out = _remainder(F.col("doc_id"), 5) == 1
+    ranks = pieces.read_model(SUBWORDS)
+    model = attention.fit(docs.where(~held_out), ranks, PATTERN)
+    base = unigrams.word_scores(docs, ~held_out)
+    return attention.score_texts(docs, model, ranks, PATTERN).join(base, "key").select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        (F.col("logs") - F.col("n_tokens") * F.col("log_norm")).alias("base_score"),
+        "score",
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
@@ -93,6 +112,7 @@ QUERIES = {
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_top_k": op8_top_k,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 SQL: dict[str, str] = {
     "op4_source_mix": r"""
