@@ -7,7 +7,7 @@ t share one of the first |x| - ceil(t |x|) + 1 shingles.
 
 1. Equal sets are one class from the start. The first shingles go to buckets, packed per batch.
    A bucket's task groups equal shingles and names the smallest class of each group its hub;
-   (hub, member) rows are made distinct. Any two documents that share a first shingle
+   (hub, member) rows, again packed, are made distinct. Any two documents that share a first shingle
    are members of one hub, so no pair of documents is ever written down for comparison.
 2. Members of a hub are cut into blocks of bounded size, each with the hub itself. A task
    builds a prefix tree per block and finds exact links; a pair already connected is skipped.
@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 
 from hourweave.llm.components import connected
 from hourweave.llm.overlaps import linked
-from hourweave.llm.substrings import RollingHasher, _planes, _unplaned
+from hourweave.llm.substrings import RollingHasher, _held, _planes, _unplaned
 from hourweave.session import written
 
 SHINGLE = 5
 #: Similar means 4 * shared >= 3 * all shingles of two documents, a Jaccard similarity of 0.75.
 SIMILARITY = (3, 4)
 #: Slots of the counter array, 8 bytes each. Its size does not depend on the data.
-SLOTS = 1 << 20
+SLOTS = 1 << 22
 _SLICES = 64
 #: Shingles (with repeats) in one block of a hub; a longer document is a block of its own.
 BLOCK_SHINGLES = 1_000_000
@@ -188,13 +188,29 @@ def _first_shingles(counts, n: int, buckets: int, similarity: tuple[int, int]):
     return batches
 
 
-def _hubs(similarity: tuple[int, int]):
-    """Of each bucket the distinct (hub, member, size) of classes that share a first shingle."""
+def _distinct(hub: np.ndarray, member: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((member, hub))
+    hub, member, size = hub[order], member[order], size[order]
+    fresh = np.ones(len(hub), bool)
+    fresh[1:] = (hub[1:] != hub[:-1]) | (member[1:] != member[:-1])
+    return hub[fresh], member[fresh], size[fresh]
+
+
+_HUBS = "target int, hubs binary, members binary, sizes binary"
+
+
+def _hubs(similarity: tuple[int, int], targets: int):
+    """Of each bucket the distinct (hub, member, size) of classes that share a first shingle, packed by target."""
     a, b = similarity
 
-    def of_bucket(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h, names, sizes, counts = (np.concatenate(x) for x in zip(*parts))
-        names, sizes = np.repeat(names, counts), np.repeat(sizes, counts)
+    def read(h: bytes, names: bytes, sizes: bytes, counts: bytes) -> tuple[np.ndarray, ...]:
+        wide = np.zeros((len(h) // 6, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(h, np.uint8).reshape(-1, 6)
+        counts = _unplaned(counts, "<u4").astype(np.int64)
+        sizes = _unplaned(sizes, "<u4").astype(np.int64)
+        return wide.reshape(-1).view("<u8"), np.repeat(np.frombuffer(names, np.int64), counts), np.repeat(sizes, counts)
+
+    def shared(h: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.lexsort((names, sizes, h))
         h, names, sizes = h[order], names[order], sizes[order]
         fresh = np.ones(len(h), bool)
@@ -204,34 +220,47 @@ def _hubs(similarity: tuple[int, int]):
         starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (b * sizes[:-1] < a * sizes[1:])])
         length = np.diff(starts, append=len(h))
         hub = np.repeat(np.minimum.reduceat(names, starts), length)
-        shared = np.repeat(length > 1, length)
-        hub, names, sizes = hub[shared], names[shared], sizes[shared]
-        order = np.lexsort((names, hub))
-        hub, names, sizes = hub[order], names[order], sizes[order]
-        fresh = np.ones(len(hub), bool)
-        fresh[1:] = (hub[1:] != hub[:-1]) | (names[1:] != names[:-1])
-        return hub[fresh], names[fresh], sizes[fresh]
+        found = np.repeat(length > 1, length)
+        return _distinct(hub[found], names[found], sizes[found])
 
     def batches(source):
-        held: dict[int, list] = {}
-        for batch in source:
-            for bucket, h, c, s, k in zip(*[column.to_pylist() for column in batch.columns]):
-                wide = np.zeros((len(h) // 6, 8), np.uint8)
-                wide[:, :6] = np.frombuffer(h, np.uint8).reshape(-1, 6)
-                held.setdefault(bucket, []).append((
-                    wide.reshape(-1).view("<u8"), np.frombuffer(c, np.int64),
-                    _unplaned(s, "<u4").astype(np.int64), _unplaned(k, "<u4").astype(np.int64),
-                ))
-        for bucket in list(held):
-            hub, member, size = of_bucket(held.pop(bucket))
-            for x in range(0, len(hub), 50_000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v[x : x + 50_000]) for v in (hub, member, size)], ["hub", "member", "size"]
-                )
+        for held in _held(source, read):
+            hub, member, size = shared(*held)
+            target = ((_spread(hub, member) >> np.uint64(32)) * np.uint64(targets) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(target, kind="stable")
+            hub, member, size, target = hub[order], member[order], size[order], target[order]
+            edges = np.flatnonzero(np.diff(target, prepend=-1, append=-1)) if len(hub) else np.zeros(1, np.int64)
+            rows = [
+                (int(target[x]), hub[x:y].tobytes(), member[x:y].tobytes(), _planes(size[x:y], "<u4"))
+                for x, y in zip(edges[:-1], edges[1:])
+            ]
+            columns = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
+                ["target", "hubs", "members", "sizes"],
+            )
 
     return batches
 
 
+def _spread(hub: np.ndarray, member: np.ndarray) -> np.ndarray:
+    # by pair: the rows of one hub, which may be a third of all, go to many tasks
+    mixed = (hub.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ member.view(np.uint64)
+    return mixed * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _unpacked(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct (hub, member, size) of a target."""
+
+    def read(hubs: bytes, members: bytes, sizes: bytes) -> tuple[np.ndarray, ...]:
+        return np.frombuffer(hubs, np.int64), np.frombuffer(members, np.int64), _unplaned(sizes, "<u4").astype(np.int64)
+
+    for held in _held(source, read):
+        columns = _distinct(*held)
+        for x in range(0, len(columns[0]), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(v[x : x + 50_000]) for v in columns], ["hub", "member", "size"])
+
+
 def _links(n: int, similarity: tuple[int, int]):
     """Links inside each block; rows come sorted by (hub, block, part), probes last."""
 
@@ -299,15 +328,14 @@ def similarity_classes(
     packed = docs.select(F.lit(0).alias("key"), "text").mapInArrow(_first_shingles(counts, n, buckets, similarity), _PACKED)
     hubs = (
         packed.repartitionById(buckets, "bucket")
-        .mapInArrow(_hubs(similarity), "hub bigint, member bigint, size bigint")
-        .groupBy("hub", "member")
-        .agg(F.max("size").alias("size"))
+        .mapInArrow(_hubs(similarity, buckets), _HUBS)
+        .repartitionById(buckets, "target")
+        .mapInArrow(_unpacked, "hub bigint, member bigint, size bigint")
     )
     hubs = written(hubs, "hubs")
     n_blocks = F.ceil(F.sum("size") / block_shingles).cast("int")
     large = hubs.groupBy("hub").agg(n_blocks.alias("blocks")).where("blocks > 1")
     own = F.pmod(F.xxhash64("member"), F.coalesce("blocks", F.lit(1))).cast("int")
-    every = F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)
     placed = hubs.join(large, "hub", "left").select(
         "hub", "member", F.coalesce("blocks", F.lit(1)).alias("blocks"), own.alias("block")
     )
