@@ -22,11 +22,15 @@ except ModuleNotFoundError:  # the vocabulary files are no part of this library;
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    # workers import this package; a cluster gets it by --py-files, a local session from here
+def reachable(spark: SparkSession) -> None:
+    """Workers import this package: a cluster gets it by --py-files, a local session from this folder."""
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if _ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, _ROOT]))
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

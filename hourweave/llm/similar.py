@@ -400,4 +400,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("_key"))
     has_words = F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     chosen = rows.where(has_words).join(first, "_key", "left_semi").dropDuplicates(["_key"])
-    return chosen.union(rows.where(~has_words)).select("row.*")
+    return chosen.select("row").union(rows.where(~has_words).select("row")).select("row.*")
