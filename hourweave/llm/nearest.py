@@ -51,7 +51,7 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if most * a.shape[1] < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     exact = a.astype(object) @ b.astype(object).T
-    return np.clip(exact, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+    return np.clip(exact, 1 - (1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def _packed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256) ->
     those with the query's own id. Ties go to the smaller id. Rows with a null id, or a vector that ``quantised``
     makes null, take no part; repeated rows count once. Vectors of different lengths are not compared: those of the most
     frequent length take part (the longer of equally frequent ones). Fewer candidates than k give fewer rows.
-    Scores outside the range of long are given as its ends. Other columns are ignored.
+    Scores beyond 63 bits are given as the largest of these, with their sign. Other columns are ignored.
     """
     spark = vectors.sparkSession
     usable = vectors.select(F.col("vec_id").cast("bigint").alias("id"), quantised(F.col("embedding"), scale).alias("code"), queries.alias("asks"))
