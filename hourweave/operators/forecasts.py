@@ -8,7 +8,7 @@ A horizon h is the h-th hour of a window: window_start + (h - 1) hours.
 from __future__ import annotations
 
 import math
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,11 @@ def _start_hours(start: datetime, end: datetime, stride: int) -> tuple[Column, C
     return first, F.floor((last + 1 - model.HORIZONS[-1] - first) / stride)
 
 
+def _within(df: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """Rows from ``start`` to the hour of ``end``, as bounds on the column itself that a scan can use."""
+    return df.where((F.col("timestamp") >= moment(start)) & (F.col("timestamp") < moment(end + timedelta(hours=1))))
+
+
 def _horizon_array(horizons) -> Column:
     return F.array(*[F.lit(int(h)) for h in horizons])
 
@@ -36,7 +41,7 @@ def window_actuals(
 ) -> DataFrame:
     """Each hour is the outcome of at most one window per horizon: no join needed."""
     first, last_nr = _start_hours(start, end, stride)
-    rows = df.select(
+    rows = _within(df, start, end).select(
         "station_id",
         hour_number(F.col("timestamp")).alias("_h"),
         F.col("pm25").alias("actual"),
@@ -68,7 +73,8 @@ def seasonal_ensemble(
     serves and no join or ranking is needed.
     """
     first, last_nr = _start_hours(start, end, stride)
-    rows = df.select(
+    # the k-th latest same hour lies at most k days before its window starts
+    rows = _within(df, start - timedelta(days=members), end).select(
         "station_id",
         hour_number(F.col("timestamp")).alias("_h"),
         F.col("pm25").alias("value"),

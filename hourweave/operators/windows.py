@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,7 +121,8 @@ def rolling_instances(
     at = hour_number(F.col("timestamp")) - hour_number(first)
     last_start = hour_number(moment(end)) - hour_number(first) + 1 - horizon
     packed = (
-        df.where((at >= -context) & (at < last_start + horizon))
+        df.where(F.col("timestamp") >= moment(start - timedelta(hours=context)))
+        .where(F.col("timestamp") < moment(end + timedelta(hours=1)))
         .select(
             "station_id",
             F.floor(at / slot).alias("slot"),

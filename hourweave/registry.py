@@ -38,7 +38,6 @@ from hourweave.streaming import replay as replay_module
 from hourweave.streaming import stream
 
 NUDGE = 1.3e-8
-BOUNDS = split_bounds(fixtures.TRAIN_END, fixtures.VAL_END, datetime(2024, 1, 30, 23))
 FIRST_DAY, LAST_DAY = date(2024, 1, 1), date(2024, 1, 30)
 SENSITIVITY = [(30.0, 55.4, 0.5), (40.0, 55.4, 0.5), (35.4, 50.0, 0.5), (35.4, 65.0, 0.5), (35.4, 55.4, 0.3)]
 MEMBERS = 14
@@ -102,8 +101,20 @@ def filled(spark, d) -> DataFrame:
     return _table(spark, d, "filled", lambda: filled_target(features(spark, d)))
 
 
+_last_hours: dict[tuple, datetime] = {}
+
+
+def bounds(spark, d, period: str) -> tuple[datetime, datetime]:
+    """First and last hour of a period; the test period ends where the feature table does."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _last_hours:
+        text = features(spark, d).agg(F.date_format(F.max("timestamp"), "yyyy-MM-dd HH:mm:ss")).head()[0]
+        _last_hours[key] = datetime.fromisoformat(text)
+    return split_bounds(fixtures.TRAIN_END, fixtures.VAL_END, _last_hours[key])[period]
+
+
 def ensemble(spark, d, period: str) -> tuple[DataFrame, DataFrame]:
-    return ensemble_tables(filled(spark, d), *BOUNDS[period], MEMBERS)
+    return ensemble_tables(filled(spark, d), *bounds(spark, d, period), MEMBERS)
 
 
 def scores(spark, d, period: str) -> DataFrame:
@@ -260,7 +271,7 @@ def _total(c):
 
 
 def q_rolling_instances(spark, d):
-    inst = rolling_instances(_filled_calendar(spark, d), *BOUNDS["val"])
+    inst = rolling_instances(_filled_calendar(spark, d), *bounds(spark, d, "val"))
     return inst.select(
         "station_id",
         "station_ix",
@@ -296,7 +307,7 @@ def q_exclude_frm(spark, d):
 
 def q_encoder_context(spark, d):
     rows = features(spark, d).select("station_id", "timestamp", "pm25")
-    return tables.encoder_context(rows, moment(BOUNDS["test"][0]))
+    return tables.encoder_context(rows, moment(bounds(spark, d, "test")[0]))
 
 
 def q_history_merge(spark, d):
@@ -464,7 +475,7 @@ def q_stream_features(spark, d):
     for nr, (a, b) in enumerate([("2024-01-01", "2024-01-12"), ("2024-01-13", "2024-01-21"), ("2024-01-22", "2024-01-31")]):
         part = messages.to_message(tables.date_range(all_readings, a, b))
         part.select(F.col("value").cast("string")).unionByName(junk).write.mode("append").text(inbox)
-        source = messages.from_message(messages.file_source(spark, inbox))
+        source = messages.from_message(messages.file_source(spark, inbox), order=messages.FILE_ORDER)
         query = stream.stream_features(
             source, root, stations(spark, d), edges(spark, d), checkpoint,
             train_end=fixtures.TRAIN_END, val_end=fixtures.VAL_END, trigger={"availableNow": True},

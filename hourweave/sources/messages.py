@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,19 +31,39 @@ def to_message(df: DataFrame) -> DataFrame:
     )
 
 
-def from_message(df: DataFrame, table: T.StructType = model.READING_SCHEMA) -> DataFrame:
-    """Typed rows of ``table``; messages that do not parse to a station are dropped."""
-    wire = model.message_schema(table)
-    parsed = df.select(F.from_json(F.col("value").cast("string"), wire).alias("m")).where(
-        F.col("m.station_id").isNotNull()
-    )
+def _parsed(df: DataFrame, table: T.StructType, beside: list[Column]) -> DataFrame:
+    message = F.from_json(F.col("value").cast("string"), model.message_schema(table)).alias("_m")
     typed = [
-        F.to_timestamp(F.col(f"m.{f.name}")).alias(f.name)
+        F.try_to_timestamp(F.col(f"_m.{f.name}")).alias(f.name)
         if isinstance(f.dataType, T.TimestampType)
-        else F.col(f"m.{f.name}")
+        else F.col(f"_m.{f.name}")
         for f in table.fields
     ]
-    return parsed.select(*typed)
+    read = df.select(message, F.struct(*beside).alias("_beside")) if beside else df.select(message)
+    return read.select(*typed, *(["_beside"] if beside else []))
+
+
+def _complete(table: T.StructType) -> Column:
+    """Whether a message has all key fields of its table: station, hour and, for readings, parameter."""
+    keys = [k for k in model.READING_KEY if k in table.names]
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+
+def from_message(
+    df: DataFrame, table: T.StructType = model.READING_SCHEMA, order: tuple[str, ...] = ()
+) -> DataFrame:
+    """Typed rows of ``table``; messages without all key fields are dropped (``rejected`` has them).
+
+    ``order`` names columns of the source, such as partition and offset, that tell which of two messages
+    came later; they are kept beside the fields.
+    """
+    kept = _parsed(df, table, [F.col(c) for c in order]).where(_complete(table))
+    return kept.select(*table.names, *[F.col("_beside").getField(c).alias(c) for c in order])
+
+
+def rejected(df: DataFrame, table: T.StructType = model.READING_SCHEMA) -> DataFrame:
+    """The source rows ``from_message`` drops: text that does not parse, or a key field missing."""
+    return _parsed(df, table, [F.col(c) for c in df.columns]).where(~_complete(table)).select("_beside.*")
 
 
 def kafka_source(
@@ -74,9 +96,13 @@ def kafka_sink(servers: str, topic: str):
     return send
 
 
+#: What orders messages from files: later files are later messages.
+FILE_ORDER = ("file_modification_time", "file_name")
+
+
 def file_source(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Message files (one JSON object per line) as a stream with a ``value`` column."""
+    """Message files (one JSON object per line) as a stream with a ``value`` column and FILE_ORDER."""
     reader = spark.readStream.format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(path)
+    return reader.load(path).select("value", *[f"_metadata.{c}" for c in FILE_ORDER])

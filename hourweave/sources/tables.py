@@ -45,9 +45,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
-def new_rows(batch: DataFrame, target: DataFrame, pk: list[str] | tuple) -> DataFrame:
-    """Rows of ``batch`` whose key is not in ``target``; one row per key."""
-    return batch.dropDuplicates(list(pk)).join(target.select(*pk), list(pk), "left_anti")
+def new_rows(batch: DataFrame, target: DataFrame, pk: list[str] | tuple, order: list[str] | tuple = ()) -> DataFrame:
+    """Rows of ``batch`` whose key is not in ``target``; of equal keys the first by ``order``, then by place in the batch."""
+    numbered = batch.select(F.struct("*").alias("_row"), *pk, F.struct(*order, F.monotonically_increasing_id().alias("_nr")).alias("_place"))
+    first = numbered.groupBy(*pk).agg(F.min_by("_row", "_place").alias("_row")).select("_row.*")
+    return first.join(target.select(*pk), list(pk), "left_anti").select(*batch.columns)
 
 
 def insert_new(batch: DataFrame, target_path: str, pk: list[str] | tuple, schema: T.StructType) -> DataFrame:

@@ -22,7 +22,7 @@ from hourweave.functions.columns import finite
 from hourweave.operators.clean import last_by
 from hourweave.operators.impute import LONG_DAYS, MEDIAN_MAX
 from hourweave.plans.features import build_features
-from hourweave.sources.messages import to_message
+from hourweave.sources.messages import FILE_ORDER, to_message
 from hourweave.sources.tables import path_exists
 
 _REACH = MEDIAN_MAX + 1
@@ -84,12 +84,15 @@ def only_batch_hours(features: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def _deduplicated(batch: DataFrame) -> DataFrame:
-    """One row per key. Rows are ordered by ``offset`` where the source has one."""
+    """One row per key, the last to arrive: by the source's order columns, then by place in the batch.
+
+    One key is always in one partition of a keyed topic, so offsets of different partitions need no order.
+    """
     names = [f.name for f in model.READING_SCHEMA.fields]
-    arrival = [c for c in ("offset",) if c in batch.columns]
-    clean = batch.withColumn("value", finite(F.col("value")))
+    arrival = [c for c in (*FILE_ORDER, "offset") if c in batch.columns]
+    clean = batch.withColumn("value", finite(F.col("value"))).withColumn("_nr", F.monotonically_increasing_id())
     values = [c for c in names if c not in model.READING_KEY]
-    return last_by(clean, list(model.READING_KEY), [*arrival, "quality_flag", "value"], values).select(*names)
+    return last_by(clean, list(model.READING_KEY), [*arrival, "_nr"], values).select(*names)
 
 
 def _neighbourhood(batch: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -138,3 +138,25 @@ def test_written_tables_live_in_the_shared_folder(spark):
     assert df.count() == 3
     assert all(shared_folder(spark) in f for f in df.inputFiles())
     assert written(spark.range(0).select(F.col("id")), "empty").count() == 0
+
+
+def test_the_first_row_of_equal_keys_is_inserted(spark):
+    from hourweave.sources.tables import new_rows
+
+    batch = spark.createDataFrame([("a", 0.0, 2), ("a", 1.0, 1), ("b", 5.0, 3)], "k string, v double, n int").coalesce(1)
+    target = spark.createDataFrame([("b",)], "k string")
+    assert [tuple(r) for r in new_rows(batch, target, ["k"]).collect()] == [("a", 0.0, 2)]
+    assert [tuple(r) for r in new_rows(batch, target, ["k"], ["n"]).collect()] == [("a", 1.0, 1)]
+
+
+def test_forecast_windows_push_their_period_down(spark, tmp_path):
+    from datetime import datetime
+
+    from hourweave.operators.forecasts import seasonal_ensemble, window_actuals
+
+    path = str(tmp_path / "hours")
+    spark.sql("select 'a' station_id, timestamp'2024-01-10 00:00:00' timestamp, 1.0D pm25").write.parquet(path)
+    hours = spark.read.parquet(path)
+    for make in (seasonal_ensemble, window_actuals):
+        plan = make(hours, datetime(2024, 1, 5), datetime(2024, 1, 20))._jdf.queryExecution().toString()
+        assert "GreaterThanOrEqual(timestamp" in plan and "LessThan(timestamp" in plan

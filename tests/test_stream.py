@@ -39,7 +39,7 @@ def as_rows(df):
 
 
 def run(spark, inbox, root, world, tmp):
-    source = messages.from_message(messages.file_source(spark, str(inbox)))
+    source = messages.from_message(messages.file_source(spark, str(inbox)), order=messages.FILE_ORDER)
     sent = str(tmp / "out")
     q = stream.stream_features(
         source, str(root), world[0], world[1], str(tmp / "ckpt"),
@@ -121,3 +121,28 @@ def test_replay_sends_slices_in_order(spark, world):
             sid = r.value.split('"station_id":"')[1][:11]
             per_station.setdefault(sid, []).append(r.value.split('"timestamp":"')[1][:13])
     assert all(v == sorted(v) for v in per_station.values())
+
+
+def test_incomplete_messages_are_rejected_and_do_not_stop_the_stream(spark, world, tmp_path):
+    inbox, root = tmp_path / "in", tmp_path / "state"
+    lines = [
+        '{"station_id": "%s", "parameter": "pm25", "value": 1.0}' % NAMES[0],
+        '{"station_id": "%s", "timestamp": "2024-01-02T03:00:00Z", "value": 1.0}' % NAMES[0],
+        '{"station_id": "%s", "parameter": "pm25", "timestamp": "soon", "value": 1.0}' % NAMES[0],
+        "{broken",
+    ]
+    sent = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert messages.from_message(sent).count() == 0
+    assert sorted(r.value for r in messages.rejected(sent).collect()) == sorted(lines)
+    sent.write.text(str(inbox))
+    run(spark, inbox, root, world, tmp_path)
+    assert stream.current_readings(spark, str(root)).count() == 0
+
+
+def test_the_last_message_of_a_batch_wins(spark):
+    sent = [(f'{{"station_id": "s", "parameter": "pm25", "timestamp": "2024-01-02T03:00:00Z", "value": {v}}}', n) for n, v in enumerate((7.0, 10.0, 4.0))]
+    source = spark.createDataFrame(sent, "value string, offset bigint")
+    typed = messages.from_message(source.orderBy(F.desc("offset")), order=("offset",))
+    assert [r.value for r in stream._deduplicated(typed).collect()] == [4.0]
+    in_place = messages.from_message(spark.createDataFrame([(v,) for v, _ in sent], "value string").coalesce(1))
+    assert [r.value for r in stream._deduplicated(in_place).collect()] == [4.0]
