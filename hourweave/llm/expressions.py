@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a longest run of characters other than these six.
@@ -21,6 +21,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def held(rows: DataFrame, condition: Column) -> DataFrame:
+    """``rows`` where the condition holds, filtered where its columns have been computed.
+
+    An ordinary filter on computed columns is pushed below their projection, and what they are made of is then
+    worked out again for every use, word arrays inside lambdas even once per word. A filter that
+    also names a row number stays above.
+    """
+    numbered = rows.withColumn("_row_number", F.monotonically_increasing_id())
+    return numbered.where(condition & (F.col("_row_number") >= 0)).drop("_row_number")
+
+
 def words(text: Column) -> Column:
     """The words of a text, unchanged and in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), lambda w: w != "")

@@ -20,12 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourweave.llm.components import connected
-from hourweave.llm.expressions import let
+from hourweave.llm.expressions import held, let
 from hourweave.session import written
 
 SHINGLE = 8
 #: Values of a signature, values of a run, and starts that need no divisibility.
-SIGNATURE, RUN, FIRST = 48, 4, 4
+SIGNATURE, RUN, FIRST = 40, 4, 4
 #: 4 * shared >= 3 * all shingles: a Jaccard similarity of 0.75.
 SIMILARITY = (3, 4)
 #: Words of 64 bits in the filters that keep needless rows out of exchanges; their size is fixed (2 MB).
@@ -98,21 +98,15 @@ def line_components(docs: DataFrame) -> DataFrame:
     pairs = written(near.where("id != hub").select("hub", "id").distinct(), "pairs")
     named = pairs.select("id").union(pairs.select("hub")).distinct()
     texts = _maybe_in(lines, "id", _filter(named, "id")).join(named, "id", "left_semi").dropDuplicates(["id"])
-    texts = written(texts, "lines")
-    both = pairs.join(texts.select(F.col("id").alias("hub"), F.col("line").alias("a")), "hub").join(
+    texts = written(texts.select("id", "line", F.size(F.array_distinct(shingles(F.col("line")))).alias("n")), "lines")
+    both = pairs.join(texts.select(F.col("id").alias("hub"), F.col("line").alias("a"), F.col("n").alias("m")), "hub").join(
         texts.withColumnRenamed("line", "b"), "id"
     )
-    similar = let(
-        F.array_distinct(shingles(F.col("a"))),
-        lambda x: let(
-            F.array_distinct(shingles(F.col("b"))),
-            lambda y: let(
-                F.size(F.array_intersect(x, y)),
-                lambda n: F.lit(sum(SIMILARITY)) * n >= F.lit(SIMILARITY[0]) * (F.size(x) + F.size(y)),
-            ),
-        ),
-    )
-    links = both.where(similar).select("hub", "id")
+    # sets of too different sizes cannot be similar, so their lines need no comparison
+    a, b = SIMILARITY
+    sizes = (b * F.least("m", "n") >= a * F.greatest("m", "n"))
+    shared = F.size(F.array_intersect(shingles(F.col("a")), shingles(F.col("b"))))
+    links = both.where(sizes).where((a + b) * shared >= a * (F.col("m") + F.col("n"))).select("hub", "id")
     return connected(links, "hub", "id").withColumnRenamed("node", "id")
 
 
@@ -154,7 +148,7 @@ def keep_first_lines(docs: DataFrame) -> DataFrame:
         ),
     )
     joined = rows.join(found, "_key", "left").withColumn("_text", F.when(F.col("dropped").isNotNull(), left))
-    joined = joined.where(F.col("_text").isNull() | F.col("_text").rlike(_HAS_WORD))
+    joined = held(joined, F.col("_text").isNull() | F.col("_text").rlike(_HAS_WORD))
     columns = []
     for f in docs.schema.fields:
         value = F.col("row").getField(f.name)

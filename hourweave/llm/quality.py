@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourweave.llm.expressions import grams, let, longer_grams, words
+from hourweave.llm.expressions import grams, held, let, longer_grams, words
 
 #: Hash buckets of the n-gram multinomials; the model's size whatever the input.
 BUCKETS = 1 << 15
@@ -183,4 +183,4 @@ def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold
 
 def keep_good(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    return judge(docs, trusted).where("kept").select("row.*")
+    return held(judge(docs, trusted), F.col("kept")).select("row.*")
