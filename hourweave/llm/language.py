@@ -72,11 +72,20 @@ class Model:
 
 
 def sampled(labelled: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """About ``per_language`` rows (text, lang) of each language, chosen by text hash, ``sample`` at most."""
-    usable = labelled.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("h"))
-    share = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("_lang"), (F.lit(float(per_language)) / F.col("n")).alias("share"))
+    """About ``per_language`` different texts (text, lang) of each language, chosen by text hash, ``sample`` at most.
+
+    Which texts are taken is settled on hashes alone, so no others are moved. The ``sample`` most frequent languages take part.
+    """
+    spark = labelled.sparkSession
+    usable = labelled.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text", "lang").alias("h"))
+    per = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()
+    each = min(per_language, max(1, sample // max(1, len(per))))
+    shares = spark.createDataFrame([(r["lang"], each / r["count"]) for r in per], "_lang string, share double")
     unit = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return usable.join(share, F.col("lang") == F.col("_lang")).where(unit < F.col("share")).orderBy("h", "text", "lang").limit(sample).select("text", "lang")
+    # at most ``sample`` rows, so a bounded broadcast
+    taken = usable.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(unit < F.col("share"))
+    last = taken.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).head()[0]
+    return taken.where(F.col("h") <= F.lit(last).cast("bigint")).dropDuplicates(["h"]).select("text", "lang")
 
 
 def fit(labelled: DataFrame, per_cluster: int = CENTROIDS, **bounds) -> Model | None:
