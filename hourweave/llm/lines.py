@@ -8,7 +8,9 @@
    of about 0.99, more similar ones nearly always.
 3. Lines of a band are joined to the band's smallest line, a star instead of all pairs, and each such pair is verified
    by the exact Jaccard similarity of the whole sets.
-4. Distributed union-find forms components; of each one line stays, the first by document id and line number.
+4. Distributed union-find forms components. Lines of a band that are in different components are then compared too, a few
+   against all others in a round, until each band's lines are in one component or all compared.
+5. Of each component one line stays, the first by document id and line number.
 
 Equal lines share one id from the start. Bands are combined before every exchange, so a line that
 makes up a third of the corpus costs a row per task.
@@ -28,6 +30,8 @@ SHINGLE = 8
 SIGNATURE, RUN, FIRST = 40, 4, 4
 #: 4 * shared >= 3 * all shingles: a Jaccard similarity of 0.75.
 SIMILARITY = (3, 4)
+#: Lines of a band that are compared with its others in the first round after the hub's, about.
+PIVOTS = 8
 #: Words of 64 bits in the filters that keep needless rows out of exchanges; their size is fixed (2 MB).
 _FILTER_WORDS = 1 << 18
 _HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -87,6 +91,60 @@ def _maybe_in(rows: DataFrame, column: str, bits: DataFrame) -> DataFrame:
     return rows.withColumn("_bits", bits.scalar()).where(found).drop("_bits")
 
 
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (hub, id) whose whole shingle sets are similar, given (id, line, n)."""
+    both = pairs.join(texts.select(F.col("id").alias("hub"), F.col("line").alias("a"), F.col("n").alias("m")), "hub").join(
+        texts.withColumnRenamed("line", "b"), "id"
+    )
+    # sets of too different sizes cannot be similar, so their lines need no comparison
+    a, b = SIMILARITY
+    sizes = (b * F.least("m", "n") >= a * F.greatest("m", "n"))
+    shared = F.size(F.array_intersect(shingles(F.col("a")), shingles(F.col("b"))))
+    return both.where(sizes).where((a + b) * shared >= a * (F.col("m") + F.col("n"))).select("hub", "id")
+
+
+def _apart(left: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the lines ``left`` (band, id) of each band, those of bands that hold several components.
+
+    Adds ``component``, the band's ``largest`` component, and ``rest``, the number of lines outside it.
+    """
+    named = left.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    bands = sizes.groupBy("band").agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("rest")
+    )
+    return named.join(bands.where("rest > 0"), "band")
+
+
+def _linked(near: DataFrame, texts: DataFrame, found: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """(id, component) when, besides each band's hub, all lines of a band that are not yet in one component were compared.
+
+    ``near`` has (band, id) without the hubs, ``found`` the components by the hubs. In each round about ``pivots`` lines of
+    a band outside its largest component are compared with all its lines of other components and leave the band. Most
+    groups have come together after one round; others get eight times as many pivots in the next, until none is left.
+    """
+    left, number = near, 0
+    while True:
+        left = written(_apart(left.select("band", "id"), found), "apart")
+        if left.isEmpty():
+            return found
+        # a pivot of one band is mostly one of its other bands too, so few different pairs come of many bands
+        chosen = F.pmod(F.xxhash64("id", F.lit(number)), F.col("rest")) < pivots
+        pivot = (F.col("component") != F.col("largest")) & chosen
+        first = left.where(pivot).select("band", F.col("id").alias("hub"), F.col("component").alias("own"))
+        pairs = left.join(first, "band").where("component != own").select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id"))
+        links = _similar(written(pairs.distinct(), "pairs"), texts)
+        # components are joined instead of their lines
+        of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
+        ends = links.join(of("hub"), "hub", "left").join(of("id"), "id", "left")
+        ends = ends.select(F.coalesce("hub_component", "hub").alias("a"), F.coalesce("id_component", "id").alias("b"))
+        joined = connected(ends, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("root"))
+        moved = found.join(joined, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+        new = joined.select(F.col("component").alias("id"), F.col("root").alias("component"))
+        found = written(moved.union(new).groupBy("id").agg(F.min("component").alias("component")), "found")
+        left, pivots, number = left.where(~pivot), 8 * pivots, number + 1
+
+
 def line_components(docs: DataFrame) -> DataFrame:
     """(id, component) of the lines that are similar to a different line; ids are hashes of the line."""
     lines = _lines(docs).select(F.xxhash64("line").alias("id"), "line")
@@ -95,19 +153,13 @@ def line_components(docs: DataFrame) -> DataFrame:
         banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last").select("band", "hub"), "shared"
     )
     near = _maybe_in(banded, "band", _filter(shared, "band")).join(shared, "band")
-    pairs = written(near.where("id != hub").select("hub", "id").distinct(), "pairs")
+    near = written(near.where("id != hub").select("band", "hub", "id").distinct(), "near")
+    pairs = written(near.select("hub", "id").distinct(), "pairs")
     named = pairs.select("id").union(pairs.select("hub")).distinct()
     texts = _maybe_in(lines, "id", _filter(named, "id")).join(named, "id", "left_semi").dropDuplicates(["id"])
     texts = written(texts.select("id", "line", F.size(F.array_distinct(shingles(F.col("line")))).alias("n")), "lines")
-    both = pairs.join(texts.select(F.col("id").alias("hub"), F.col("line").alias("a"), F.col("n").alias("m")), "hub").join(
-        texts.withColumnRenamed("line", "b"), "id"
-    )
-    # sets of too different sizes cannot be similar, so their lines need no comparison
-    a, b = SIMILARITY
-    sizes = (b * F.least("m", "n") >= a * F.greatest("m", "n"))
-    shared = F.size(F.array_intersect(shingles(F.col("a")), shingles(F.col("b"))))
-    links = both.where(sizes).where((a + b) * shared >= a * (F.col("m") + F.col("n"))).select("hub", "id")
-    return connected(links, "hub", "id").withColumnRenamed("node", "id")
+    found = written(connected(_similar(pairs, texts), "hub", "id").withColumnRenamed("node", "id"), "found")
+    return _linked(near, texts, found)
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -116,6 +117,31 @@ def test_similar_lines_are_found(spark):
     assert lost <= {100 + i for i in near}
 
 
+def around_passages(groups_of):
+    """Lines that are a passage of 70 words and 5 to 30 of 40 other words: many are similar to each other and not to all."""
+    lists = []
+    for g in range(groups_of):
+        r = random.Random(g)
+        passage, own = prose(3 * g, 70).replace("\n", " ").split(), prose(100 + 3 * g, 40).replace("\n", " ").split()
+        lists += [" ".join(passage + r.sample(own, r.randrange(5, 31))) for _ in range(40)]
+    return lists
+
+
+def test_lines_of_a_band_are_all_compared(spark):
+    texts = around_passages(6)
+    sets = [line_sets(t) for t in texts]
+    values = [sorted({xxhash.xxh64_intdigest(x, 42) - (1 << 64 if xxhash.xxh64_intdigest(x, 42) >> 63 else 0) for x in s})[: lines.SIGNATURE] for s in sets]
+    runs = [{tuple(v[i : i + lines.RUN]) for i in range(len(v)) if i < lines.FIRST or v[i] % 4 == 0} for v in values]
+    near = [
+        (a, b) for a in range(len(texts)) for b in range(a)
+        if runs[a] & runs[b] and 7 * len(sets[a] & sets[b]) >= 3 * (len(sets[a]) + len(sets[b]))
+    ]
+    root = groups(range(len(texts)), near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    lost = {r.doc_id for r in lines.duplicate_lines(docs).collect() if r.dropped}
+    assert lost == {i for i in root if root[i] != i}
+
+
 def test_kept_lines(spark):
     docs = spark.createDataFrame(
         [(1, "first line here\n\nsecond", "u", 9), (2, "second\nown text", "v", 9), (3, "second", "w", 9), (4, None, "x", None), (5, "", "y", 0)],
