@@ -48,7 +48,7 @@ def shingles(line: Column) -> Column:
 
 def signature(hashes: Column) -> Column:
     """The smallest distinct hashes in order."""
-    return F.array_distinct(F.slice(F.sort_array(hashes), 1, 2 * SIGNATURE))
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SIGNATURE)
 
 
 def bands(values: Column) -> Column:
@@ -57,7 +57,7 @@ def bands(values: Column) -> Column:
         starts = lambda x, i: (i < FIRST) | (x.bitwiseAND(F.lit(3)) == 0)
         return F.filter(F.transform(s, lambda x, i: F.when(starts(x, i), run(i))), lambda v: v.isNotNull())
 
-    return let(F.slice(values, 1, SIGNATURE), runs)
+    return let(values, runs)
 
 
 def _lines(docs: DataFrame) -> DataFrame:

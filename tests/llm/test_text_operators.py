@@ -142,6 +142,15 @@ def test_lines_of_a_band_are_all_compared(spark):
     assert lost == {i for i in root if root[i] != i}
 
 
+def test_signature_of_repetitive_lines(spark):
+    """The smallest distinct hashes, however often they repeat."""
+    cycled = [" ".join(prose(i, 20).split()[:20] * 40) for i in range(8)]
+    docs = spark.createDataFrame([(t,) for t in [*cycled, "ab" * 900, "short"]], "line string")
+    hashes = lines.shingles(F.col("line"))
+    for r in docs.select(hashes.alias("h"), lines.signature(hashes).alias("s")).collect():
+        assert r.s == sorted(set(r.h))[: lines.SIGNATURE]
+
+
 def test_kept_lines(spark):
     docs = spark.createDataFrame(
         [(1, "first line here\n\nsecond", "u", 9), (2, "second\nown text", "v", 9), (3, "second", "w", 9), (4, None, "x", None), (5, "", "y", 0)],
