@@ -419,3 +419,21 @@ def test_scores_of_odd_texts(spark, ranks):
     empty = attention.fit(none(spark), ranks, queries.PATTERN)
     assert np.isfinite(empty.log_probability([np.array([5, empty.end])])).all()
     assert attention.score_texts(none(spark), empty, ranks, queries.PATTERN).count() == 0
+
+
+def test_all_pairs_are_counted_and_met(spark, ranks, monkeypatch):
+    monkeypatch.setattr(attention, "PAIRS", 50, raising=False)
+    docs = odd(spark).where("doc_id < 16")
+    model = attention.fit(docs, ranks, queries.PATTERN)
+    coder = attention.subwords(ranks, queries.PATTERN)
+    before, ids = attention._with_previous([coder.ids(r[1]) for r in rows() if r[0] is not None and r[0] < 16], model.end)
+    counts, after = Counter(zip(before.tolist(), ids.tolist())), Counter(before.tolist())
+    assert len(counts) > 500
+    want = [(counts[b, i] + 20 * model.counts.unigram[i]) / (after[b] + 20) for b, i in zip(before.tolist(), ids.tolist())]
+    assert model.counts.emission(before, ids)[1] == pytest.approx(want)
+    texts = {r[1] for r in rows()}
+    alone = dict(zip(texts, model.log_probability([coder.ids(t) for t in texts])))
+    found = attention.score_texts(odd(spark), model, ranks, queries.PATTERN, chunk_ids=300)
+    by_key = odd(spark).select(F.xxhash64("doc_id", "text").alias("key"), "text").distinct()
+    for r in found.join(by_key, "key").collect():
+        assert r.score == pytest.approx(alone[r.text], rel=1e-5)
