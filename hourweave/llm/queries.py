@@ -7,16 +7,33 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourweave.llm import attention, hosts, language, lines, mixing, nearest, pieces, quality, similar, substrings, unigrams
+from hourweave.llm import (
+    attention,
+    hosts,
+    language,
+    lines,
+    mixing,
+    nearest,
+    packing,
+    phrases,
+    pieces,
+    quality,
+    similar,
+    substrings,
+    unigrams,
+    whitening,
+)
 
 try:
     import public_tokenizers
 
     TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
     SUBWORDS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    WORDS = public_tokenizers.path("word_bpe_49k.json")
 except ModuleNotFoundError:  # the vocabulary files are no part of this library; name another place
     TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
     SUBWORDS, PATTERN = "/opt/tokenizers/byte_bpe_50k.tiktoken", r"\s?\S+|\s+"
+    WORDS = "/opt/tokenizers/word_bpe_49k.json"
 
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -106,6 +123,21 @@ def op10_lm_scoring(spark, d):
     )
 
 
+def op11_phrase_mining(spark, d):
+    return phrases.collocations(_read(spark, d, "documents"))
+
+
+def op12_whitening(spark, d):
+    return whitening.whiten(_read(spark, d, "embeddings"))
+
+
+def op13_packing(spark, d):
+    pieces_of = packing.pack(_read(spark, d, "documents"), pieces.read_model(WORDS).decode())
+    return pieces_of.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
@@ -117,6 +149,9 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_phrase_mining": op11_phrase_mining,
+    "op12_whitening": op12_whitening,
+    "op13_packing": op13_packing,
 }
 SQL: dict[str, str] = {
     "op4_source_mix": r"""
@@ -163,5 +198,38 @@ scored AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op11_phrase_mining": r"""
+WITH pieces AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+listed AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM listed),
+spans AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM starts, range(1, 6) t(k) WHERE i + k - 1 <= len(w)),
+f AS (
+  SELECT lang, k::INTEGER AS k, phrase, count(*)::BIGINT AS f FROM spans GROUP BY ALL HAVING count(*) >= 100),
+totals AS (
+  SELECT lang, count(*)::BIGINT AS n FROM spans WHERE k = 1 GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, t.n, j, fl.f AS l, fr.f AS r,
+         (1000::HUGEINT * c.f * t.n // (fl.f::HUGEINT * fr.f))::BIGINT AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM f WHERE k > 1) c
+  JOIN totals t ON t.lang = c.lang
+  JOIN f fl ON fl.lang = c.lang AND fl.k = j AND fl.phrase = array_to_string(w[1:j], ' ')
+  JOIN f fr ON fr.lang = c.lang AND fr.k = c.k - j AND fr.phrase = array_to_string(w[j + 1:], ' ')),
+best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+dropped AS (
+  SELECT DISTINCT s.lang, s.phrase
+  FROM f s JOIN f g ON g.lang = s.lang AND s.k > 1 AND g.k > s.k AND g.f >= s.f
+   AND contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' '))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM best b ANTI JOIN dropped d USING (lang, phrase))
+WHERE rank <= 2000
 """,
 }
