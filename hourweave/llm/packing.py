@@ -21,10 +21,13 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,16 +40,28 @@ END_ID = 1
 #: Sources with queues of their own, the ones with most documents; all others share one more queue. Bounds what each task is sent.
 MAX_QUEUES = 256
 #: Ids in a written batch, and words whose ids a worker remembers.
-BATCH_IDS, CACHED_WORDS, CACHED_LENGTH = 1_000_000, 400_000, 64
+BATCH_IDS, CACHED_WORDS, CACHED_LENGTH = 1_000_000, 300_000, 64
 _GOLDEN = 0.6180339887498949
 _PARTS = 1 << 32
 
 
+def _byte_signs() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it can be seen, else the next from U+0100 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in seen)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
 class WordIds(dict):
     """Ids of the words of a text, as little-endian bytes.
 
     The tokenizer splits at white space and drops it, so a text's ids are those of its words, one after the
-    other; each word is encoded by the library once.
+    other. Words of characters below U+0250, which no normalisation changes but lower-casing, are lower-cased and cut
+    here by the tokenizer's own pattern, and its merges are applied to each piece; other words, and those that may hold
+    special tokens, go through the whole library. Two generations of words and pieces are remembered; the older one is
+    dropped when the newer is full.
     """
 
     def __init__(self, model: str):
@@ -54,15 +69,38 @@ class WordIds(dict):
 
         super().__init__()
         self._tokenizer = Tokenizer.from_str(model)
+        self._merges = self._tokenizer.model
+        parts = json.loads(model)["pre_tokenizer"]["pretokenizers"]
+        self._cut = regex.compile(parts[0]["pattern"]["Regex"]).findall
+        self._older: dict[bytes, bytes] = {}
+
+    def _merged(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self._merges.tokenize(piece)]).tobytes()
+
+    def _ids(self, word: bytes) -> bytes:
+        text = word.decode()
+        lower = text.lower()
+        plain = word.isascii()
+        if plain and text.isalpha():
+            return self._merged(text) if lower == text else self[lower.encode()]
+        if "<|" in text or not plain and max(max(text), max(lower)) >= "\u0250":
+            return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        pieces = self._cut(lower)
+        if len(pieces) == 1 and pieces[0] == text:
+            return self._merged(word.decode("latin-1").translate(_BYTE_SIGNS))
+        return b"".join([self[piece.encode()] for piece in pieces])
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self._tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self._older.get(word)
+        if ids is None:
+            ids = self._ids(word)
         if len(word) <= CACHED_LENGTH:
             self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         if len(self) > CACHED_WORDS:
+            self._older = dict(self)
             self.clear()
         return b"".join(map(self.__getitem__, text.encode().split()))
 

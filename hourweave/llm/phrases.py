@@ -28,9 +28,10 @@ from hourweave.session import written
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Suffix pointers a task should hold.
 TASK_POINTERS = 3_000_000
-#: Frequent words sent to the tasks that cut the texts (8 bytes each); with more of them texts are not cut, which only costs time.
+#: Frequent words sent to the tasks that cut the texts (8 bytes each), which then write words as short numbers; with more of them
+#: texts are not cut and words travel as hashes, which costs time and space but changes nothing else.
 MAX_WORDS = 2_000_000
-_BATCH_WORDS = 1_000_000
+_BATCH_WORDS = 2_000_000
 _CACHED = 300_000
 _BREAK = b"\xff"  # never part of UTF-8
 _LOWERED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
@@ -67,19 +68,39 @@ def _code(lang: str, word: bytes) -> int:
     return (xxhash.xxh3_64_intdigest(word, xxhash.xxh3_64_intdigest(lang.encode())) >> 1) | 1
 
 
+class _Words:
+    """What the tasks know of words: the very frequent ones and, if they are not too many, all frequent ones.
+
+    A suffix holds codes, or the numbers of frequent words from 1 on, the most frequent first; other words are 0 then.
+    """
+
+    def __init__(self, codes: list[int], n_hot: int, all_known: bool):
+        self.by_number = np.array([0, *codes], np.int64)
+        self.all_known = all_known
+        self.hot = np.arange(1, n_hot + 1) if all_known else np.sort(self.by_number[1 : n_hot + 1])
+        self.type = (np.int32, "int") if all_known else (np.int64, "bigint")
+
+    def lookup(self):
+        """(sorted codes, their numbers)."""
+        order = np.argsort(self.by_number[1:])
+        return self.by_number[1:][order], order + 1
+
+    def codes(self, words) -> np.ndarray:
+        return self.by_number[words] if self.all_known else words
+
+
 class _Codes(dict):
-    """Words of one language as numbers; words that no frequent phrase has are 0."""
+    """Words of one language as codes or numbers."""
 
-    def __init__(self, lang: str, frequent: np.ndarray | None):
+    def __init__(self, lang: str, sorted_codes: np.ndarray | None, numbers: np.ndarray | None):
         super().__init__({_BREAK: 0})
-        self._lang, self._frequent = lang, frequent
+        self._lang, self._codes, self._numbers = lang, sorted_codes, numbers
 
     def __missing__(self, word: bytes) -> int:
         code = _code(self._lang, word)
-        if self._frequent is not None:
-            i = int(np.searchsorted(self._frequent, code))
-            if i == len(self._frequent) or self._frequent[i] != code:
-                code = 0
+        if self._codes is not None:
+            i = int(np.searchsorted(self._codes, code))
+            code = int(self._numbers[i]) if i < len(self._codes) and self._codes[i] == code else 0
         self[word] = code
         return code
 
@@ -92,51 +113,51 @@ def _among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
-def _suffixes(longest: int, frequent: np.ndarray | None, hot: np.ndarray):
-    """(lang, text) to the distinct suffixes of a batch, (route, w1, w2, .., n)."""
+def _suffixes(longest: int, words_known: _Words, tasks: int):
+    """(lang, text) to the distinct suffixes of a batch in order, (route, w1, w2, .., n); ``route`` is the number of a task."""
+    kind, hot = words_known.type[0], words_known.hot
 
     def pack(codes: np.ndarray) -> pa.RecordBatch:
-        codes = np.append(codes, np.zeros(longest, np.int64))
+        codes = np.append(codes, np.zeros(longest, kind))
         at = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
         at = at[at < len(codes) - longest]
-        words = np.empty((longest, len(at)), np.int64)
+        words = np.empty((longest, len(at)), kind)
         words[0] = codes[at]
         for d in range(1, longest):
             words[d] = np.where(words[d - 1] > 0, codes[at + d], 0)
-        key = np.zeros(len(at), np.uint64)
-        for w in words:
-            key = _mixed(key * np.uint64(31) + w.view(np.uint64))
-        order = np.argsort(key, kind="stable")
-        words = words[:, order]
+        words = words[:, np.lexsort(words[::-1])]  # neighbours differ little: they are counted together, and pack well
         new = np.ones(len(at), bool)
         new[1:] = (words[:, 1:] != words[:, :-1]).any(0)
         heads = np.flatnonzero(new)
         n = np.diff(heads, append=len(at))
         words = words[:, heads]
-        route = words[0].view(np.uint64).copy()
+        route = _mixed(words[0].astype(np.uint64))
         going = _among(words[0], hot)
         for d in range(1, longest):
-            route = np.where(going, _mixed(route * np.uint64(31) + words[d].view(np.uint64)), route)
+            route = np.where(going, _mixed(route * np.uint64(31) + words[d].astype(np.uint64)), route)
             going &= _among(words[d], hot)
+        route = ((route >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(route.view(np.int64)), *[pa.array(w) for w in words], pa.array(n)],
+            [pa.array(route), *[pa.array(w) for w in words], pa.array(n)],
             ["route", *[f"w{d + 1}" for d in range(longest)], "n"],
         )
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, _Codes] = {}
+        listed = words_known.lookup() if words_known.all_known else (None, None)
         held, size = [], 0
         for batch in source:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if sum(map(len, known.values())) > _CACHED:
                     known.clear()
                 if lang not in known:
-                    known[lang] = _Codes(lang, frequent)
+                    known[lang] = _Codes(lang, *listed)
                 tokens = _tokens(text.as_py())
-                held.append(np.fromiter(map(known[lang].__getitem__, tokens), np.int64, len(tokens)))
+                held.append(np.fromiter(map(known[lang].__getitem__, tokens), kind, len(tokens)))
                 size += len(tokens)
                 if size > _BATCH_WORDS:
                     yield pack(np.concatenate(held))
@@ -175,9 +196,10 @@ def quicksort_counts(words: np.ndarray, n: np.ndarray, least: int) -> list[tuple
     return found
 
 
-def _frequent_phrases(longest: int, least: int, hot: np.ndarray):
+def _frequent_phrases(longest: int, least: int, words_known: _Words):
     """The suffixes of a task to (phrase, n): whole counts of frequent phrases, and this task's share of those
     of phrases of very frequent words alone, which several tasks may hold."""
+    hot = words_known.hot
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [[c.to_numpy() for c in batch.columns] for batch in source]
@@ -204,7 +226,7 @@ def _frequent_phrases(longest: int, least: int, hot: np.ndarray):
         for a in range(0, len(rows), 100_000):
             part = rows[a : a + 100_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([list(p) for p, _ in part], pa.list_(pa.int64())), pa.array([c for _, c in part], pa.int64())],
+                [pa.array([words_known.codes(list(p)).tolist() if words_known.all_known else list(p) for p, _ in part], pa.list_(pa.int64())), pa.array([c for _, c in part], pa.int64())],
                 ["phrase", "n"],
             )
 
@@ -229,15 +251,13 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     # a word is very frequent if it fills a good part of a task: there are at most 8 * tasks of them
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-everything // task_pointers))
     bound = max(min(task_pointers, everything // tasks) // 8, least)
-    hot = np.array(sorted(r[0] for r in words.where(F.col("f") >= bound).select("code").collect()), np.int64)
-    frequent = None
-    if words.count() <= max_words:
-        frequent = np.array(sorted(r[0] for r in words.select("code").collect()), np.int64)
-    columns = [f"w{d + 1}" for d in range(longest)]
-    dealt = texts.mapInArrow(
-        _suffixes(longest, frequent, hot), f"route bigint, {', '.join(f'{c} bigint' for c in columns)}, n bigint"
-    ).repartition(tasks, "route")
-    found = dealt.mapInArrow(_frequent_phrases(longest, least, hot), "phrase array<bigint>, n bigint")
+    all_known = words.count() <= max_words
+    n_hot = words.where(F.col("f") >= bound).count()
+    sent = words.where(F.col("f") >= (least if all_known else bound)).orderBy(F.desc("f"), "code").select("code")
+    known = _Words([r[0] for r in sent.collect()], n_hot, all_known)
+    columns = ", ".join(f"w{d + 1} {known.type[1]}" for d in range(longest))
+    dealt = texts.mapInArrow(_suffixes(longest, known, tasks), f"route int, {columns}, n bigint").repartitionById(tasks, "route")
+    found = dealt.mapInArrow(_frequent_phrases(longest, least, known), "phrase array<bigint>, n bigint")
     found = found.groupBy("phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     single = words.select(F.array("code").alias("phrase"), "f")
     return words, written(found.unionByName(single), "phrases")
