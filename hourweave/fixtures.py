@@ -140,12 +140,11 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Provider-shaped documents (``Data`` arrays of at most 500 sample rows)."""
+    """Provider-shaped documents (``Data`` arrays of at most 500 sample rows), in the order of the events."""
     raw = raw_events(spark, sf_dir)
     part = F.split("station_id", "-", 3)
     k = F.col("k")
     row = F.struct(
-        F.col("event_id").alias("seq"),
         part[0].alias("state_code"),
         part[1].alias("county_code"),
         part[2].alias("site_number"),
@@ -158,10 +157,12 @@ def landed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k >= 95, "QX").when(k >= 90, "  ").when(k >= 85, "").alias("qualifier"),
     )
     return (
-        raw.select(F.floor(F.col("event_id") / 500).alias("doc"), row.alias("row"))
+        raw.select(F.floor(F.col("event_id") / 500).alias("doc"), F.struct("event_id", row.alias("row")).alias("row"))
         .groupBy("doc")
-        .agg(F.collect_list("row").alias("Data"))
-        .select("Data")
+        .agg(F.array_sort(F.collect_list("row")).alias("Data"))
+        .repartitionByRange("doc")
+        .sortWithinPartitions("doc")
+        .select(F.col("Data.row").alias("Data"))
     )
 
 
@@ -171,8 +172,8 @@ def landed_monitors(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.split("station_id", "-", 3)
     instruments = stations(spark, sf_dir).select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("poc"))
     fem = F.col("monitor_type") == "FEM"
+    label = F.concat("name", F.when(F.col("poc") == 2, "-b").otherwise(""))
     row = F.struct(
-        (site * 10 + F.col("poc")).cast("bigint").alias("seq"),
         F.col("state_code"),
         F.col("county_code"),
         number[2].alias("site_number"),
@@ -182,14 +183,14 @@ def landed_monitors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(site != 15, F.col("elevation_m")).alias("elevation"),
         F.when((site == 5) & (F.col("poc") == 1), "2024-01-15").alias("close_date"),
         F.when(fem & (F.col("poc") == 2), "Continuous hourly").otherwise("DAILY").alias("collection_frequency"),
-        F.when(site % 4 != 0, F.col("name")).alias("local_site_name"),
-        F.concat(F.lit("address "), F.col("name")).alias("address"),
+        F.when(site % 4 != 0, label).alias("local_site_name"),
+        F.concat(F.lit("address "), label).alias("address"),
     )
     return (
-        instruments.select("county_code", "station_id", row.alias("row"))
+        instruments.select("station_id", F.struct("poc", "station_id", row.alias("row")).alias("row"))
         .groupBy(F.substring("station_id", 1, 11).alias("doc"))
-        .agg(F.collect_list("row").alias("Data"))
-        .select("Data")
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("row.poc"), F.col("row.station_id"), F.col("row.row")))).alias("Data"))
+        .select(F.col("Data.row").alias("Data"))
     )
 
 

@@ -170,7 +170,6 @@ FEATURE_MESSAGE_SCHEMA = message_schema(FEATURE_SCHEMA)
 # Landed provider records. ``Data`` holds the rows of one response.
 SAMPLE_RECORD = T.StructType(
     [
-        _field("seq", T.LongType()),
         _field("state_code", T.StringType()),
         _field("county_code", T.StringType()),
         _field("site_number", T.StringType()),
@@ -186,7 +185,6 @@ SAMPLE_RECORD = T.StructType(
 
 MONITOR_RECORD = T.StructType(
     [
-        _field("seq", T.LongType()),
         _field("state_code", T.StringType()),
         _field("county_code", T.StringType()),
         _field("site_number", T.StringType()),

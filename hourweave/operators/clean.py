@@ -32,7 +32,7 @@ def clean_samples(samples: DataFrame, stations: DataFrame) -> DataFrame:
     """Exploded sample rows to readings.
 
     Hourly rows of known stations with a measurement; where several
-    instruments report the same hour, the lowest POC wins, ties by ``seq``.
+    instruments report the same hour, the lowest POC wins, of equal ones the first to be landed.
     """
     names = {code: p for p, code in model.PARAMETER_CODES.items()}
     parameter = by_parameter(names, F.col("parameter_code"))
@@ -46,18 +46,18 @@ def clean_samples(samples: DataFrame, stations: DataFrame) -> DataFrame:
         by_parameter(model.UNITS, parameter).alias("unit"),
         qualifier_flag(F.col("qualifier")).alias("quality_flag"),
         F.coalesce(F.nullif(F.col("poc"), F.lit(0)), F.lit(99)).alias("poc"),
-        "seq",
+        "landed_at",
     )
     known = rows.where(F.col("parameter").isNotNull()).join(
         stations.select("station_id"), "station_id", "left_semi"
     )
-    best = first_by(known, list(model.READING_KEY), ["poc", "seq"], ["value", "unit", "quality_flag"])
+    best = first_by(known, list(model.READING_KEY), ["poc", "landed_at"], ["value", "unit", "quality_flag"])
     return best.select(*[f.name for f in model.READING_SCHEMA.fields])
 
 
 def build_stations(monitors: DataFrame, box: tuple = model.STATION_BOX) -> DataFrame:
-    """Exploded monitor rows to one row per site: attributes of the first open
-    instrument inside the box, FEM if any such instrument is continuous."""
+    """Exploded monitor rows to one row per site: attributes of the open instrument inside
+    the box that was landed first, FEM if any such instrument is continuous."""
     name = F.coalesce(F.nullif(F.col("local_site_name"), F.lit("")), F.col("address"), F.lit(""))
     closed = F.coalesce(F.col("close_date"), F.lit("")) != ""
     rows = monitors.where(
@@ -75,10 +75,10 @@ def build_stations(monitors: DataFrame, box: tuple = model.STATION_BOX) -> DataF
             "county_code",
             "state_code",
         ).alias("site"),
-        "seq",
+        "landed_at",
         (monitor_type(F.col("collection_frequency")) == "FEM").alias("fem"),
     )
-    merged = rows.groupBy("station_id").agg(F.min_by("site", "seq").alias("site"), F.bool_or("fem").alias("fem"))
+    merged = rows.groupBy("station_id").agg(F.min_by("site", "landed_at").alias("site"), F.bool_or("fem").alias("fem"))
     return merged.select(
         "station_id", "site.*", F.when(F.col("fem"), "FEM").otherwise("FRM").alias("monitor_type")
     )

@@ -52,11 +52,14 @@ def new_rows(batch: DataFrame, target: DataFrame, pk: list[str] | tuple, order:
     return first.join(target.select(*pk), list(pk), "left_anti").select(*batch.columns)
 
 
-def insert_new(batch: DataFrame, target_path: str, pk: list[str] | tuple, schema: T.StructType) -> DataFrame:
+def insert_new(
+    batch: DataFrame, target_path: str, pk: list[str] | tuple, schema: T.StructType, order: list[str] | tuple = ()
+) -> DataFrame:
     """Append the rows with new keys and return exactly those rows.
 
-    The inserted rows are written first and read back, so the returned frame
-    does not depend on the target that has just grown.
+    Of equal keys the first row by the batch's columns ``order`` (say partition and offset) stays, without them the one that
+    stands first in the batch. The batch is evaluated once: its rows are numbered and written, then the
+    inserted ones are, so the returned frame does not depend on the target that has just grown.
     """
     spark = batch.sparkSession
     shaped = batch
@@ -65,14 +68,17 @@ def insert_new(batch: DataFrame, target_path: str, pk: list[str] | tuple, schema
         shaped = shaped.withColumn("quality_flag", F.coalesce(flag.cast("int"), F.lit(0)))
     if "ingested_at" in schema.names and "ingested_at" not in batch.columns:
         shaped = shaped.withColumn("ingested_at", F.current_timestamp())
-    shaped = shaped.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    place = F.struct(*order, F.monotonically_increasing_id().alias("nr")).alias("_arrival")
+    shaped = written(
+        shaped.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], place), "insert_batch"
+    )
     # equal keys have equal timestamps: only that stretch of the target is read
     span = shaped.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
     target = read_table(spark, target_path, schema)
     if span["a"] is not None:
         low, high = (F.lit(t).cast("timestamp") for t in (span["a"], span["b"]))
         target = target.where(F.col("timestamp").between(low, high))
-    fresh = written(new_rows(shaped, target, pk), "insert")
+    fresh = written(new_rows(shaped, target, pk, ["_arrival"]).select(*schema.names), "insert")
     fresh.write.mode("append").parquet(target_path)
     return fresh
 

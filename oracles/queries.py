@@ -78,7 +78,7 @@ landed AS (
   FROM raw WHERE k <> 50)"""
 MONITORS = """
 monitors AS (
-  SELECT station_id, site, name, lat, lon, CASE WHEN site <> 15 THEN elevation_m END AS elevation_m, county_code, state_code,
+  SELECT station_id, site, name || CASE WHEN poc = 2 THEN '-b' ELSE '' END AS name, lat, lon, CASE WHEN site <> 15 THEN elevation_m END AS elevation_m, county_code, state_code,
          monitor_type = 'FEM' AND poc = 2 AS fem, poc
   FROM stations CROSS JOIN (VALUES (1), (2)) q(poc)
   WHERE NOT (site = 9 AND poc = 2) AND NOT (site = 5 AND poc = 1)
@@ -515,7 +515,10 @@ SQL: dict[str, str] = {
         "SELECT min(timestamp) AS earliest, max(timestamp) AS latest, min(timestamp) >= TIMESTAMP '2023-12-31' AND max(timestamp) <= TIMESTAMP '2024-01-31' AS in_range FROM readings",
         "readings",
     ),
-    "qc_stations_missing": compose("SELECT station_id FROM stations WHERE station_id NOT IN (SELECT station_id FROM readings)", "stations", "readings"),
+    "qc_stations_missing": compose(
+        "SELECT station_id FROM stations WHERE station_id NOT IN (SELECT station_id FROM readings WHERE station_id NOT LIKE '06-111-%')",
+        "stations", "readings",
+    ),
     "qc_stations_per_parameter": compose("SELECT parameter, count(DISTINCT station_id) AS n_stations FROM readings GROUP BY 1", "readings"),
     "qc_too_few_stations": compose("SELECT count(DISTINCT station_id) AS n_stations FROM readings WHERE parameter = 'pm25' HAVING count(DISTINCT station_id) < 1000000", "readings"),
     "qc_incomplete": compose(
@@ -537,3 +540,17 @@ SQL: dict[str, str] = {
     "qc_summary": summary(),
 }
 
+# stores and scans give back what went in
+SQL |= {
+    "readings_scan": SQL["date_range"].replace("BETWEEN DATE '2024-01-08' AND DATE '2024-01-19'", ">= DATE '2024-01-01'"),
+    "insert_features": f"SELECT * FROM ({FEATURE_SQL}) f WHERE split <> 'train'",
+    "sample_store": SQL["ensemble_samples"],
+    "scaler_store": SQL["scaler"],
+    "finite_values": compose(f"SELECT event_id, CASE WHEN k NOT IN (7, 8, 9) THEN {r('value')} END AS value FROM raw", "raw"),
+    "distinct_messages": compose(
+        f"SELECT {READ.format(v=r('value'))} FROM readings WHERE timestamp < TIMESTAMP '2024-01-22' "
+        f"UNION ALL SELECT {READ.format(v=r('value + 1000'))} FROM readings WHERE timestamp < TIMESTAMP '2024-01-13' AND hour(timestamp) % 5 = 0 "
+        "AND timestamp > (SELECT max(timestamp) - INTERVAL 48 HOUR FROM readings WHERE timestamp < TIMESTAMP '2024-01-13')",
+        "readings",
+    ),
+}

@@ -14,7 +14,7 @@ from tests.test_neighbors import station_frame
 
 def sample(seq, poc, value, **over):
     base = dict(
-        seq=seq, state_code="06", county_code="037", site_number="1103", parameter_code="88101", poc=poc,
+        state_code="06", county_code="037", site_number="1103", parameter_code="88101", poc=poc,
         date_gmt="2024-01-15", time_gmt="14:00", sample_measurement=value, sample_duration="1 HOUR", qualifier=None,
     )
     return base | over
@@ -38,9 +38,22 @@ def test_clean_samples(spark, tmp_path):
     }
 
 
+def test_ties_go_to_the_document_landed_first(spark, tmp_path):
+    stations = station_frame(spark, [("06-037-1103", 34, -118, 0)])
+    docs = [[sample(0, 2, 7.0), sample(1, 1, 5.0), sample(2, 1, 6.0)], [sample(3, 1, 9.0)]]
+    for nr, rows in enumerate(docs):
+        (tmp_path / f"{nr}.json").write_text(json.dumps({"Data": rows}))
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps({"Data": rows}) for rows in reversed(docs)))
+    for path, whole, want in (("[01].json", True, 5.0), ("lines.json", False, 9.0)):
+        got = clean_samples(landed.read_samples(spark, str(tmp_path / path), one_per_file=whole), stations)
+        assert [r.value for r in got.collect()] == [want]
+    loose = spark.createDataFrame([(docs[0],)], model.landed_schema(model.SAMPLE_RECORD))
+    assert [r.value for r in clean_samples(landed.explode_data(loose), stations).collect()] == [5.0]
+
+
 def monitor(seq, site, lat=34.0, lon=-118.0, **over):
     base = dict(
-        seq=seq, state_code="06", county_code="037", site_number=site, poc=seq, latitude=lat, longitude=lon,
+        state_code="06", county_code="037", site_number=site, poc=seq, latitude=lat, longitude=lon,
         elevation=10.0, close_date=None, collection_frequency="DAILY", local_site_name=f"n{seq}", address="road",
     )
     return base | over
@@ -68,11 +81,15 @@ def test_insert_is_idempotent_and_counts_inserted_rows(spark, tmp_path):
     r = readings_frame(spark, [("a", "pm25", 1, 0), ("a", "pm25", 2, 1)])
     target = paths[tables.READINGS]
     assert tables.insert_new(r, target, model.READING_KEY, schema).count() == 2
+    late_first = readings_frame(spark, [("b", "pm25", 8, 5), ("b", "pm25", 7, 5)]).withColumn("offset", -F.col("value"))
+    assert [x.value for x in tables.insert_new(late_first.repartition(4), target, model.READING_KEY, schema, ["offset"]).collect()] == [8.0]
+    in_place = readings_frame(spark, [("c", "pm25", v, 5) for v in range(50)]).coalesce(1)
+    assert [x.value for x in tables.insert_new(in_place, target, model.READING_KEY, schema).collect()] == [0.0]
     more = readings_frame(spark, [("a", "pm25", 99, 1), ("a", "pm25", 3, 2), ("a", "pm25", 3, 2)]).drop("quality_flag")
     fresh = tables.insert_new(more, target, model.READING_KEY, schema)
     assert [(x.value, x.quality_flag) for x in fresh.collect()] == [(3.0, 0)]
     now = tables.read_table(spark, target, schema)
-    assert sorted(x.value for x in now.collect()) == [1.0, 2.0, 3.0]
+    assert sorted(x.value for x in now.where("station_id = 'a'").collect()) == [1.0, 2.0, 3.0]
     assert now.where("ingested_at is null").count() == 0
     assert tables.insert_new(more, target, model.READING_KEY, schema).count() == 0
 

@@ -111,7 +111,7 @@ def test_replay_sends_slices_in_order(spark, world):
     sent = []
     n = replay(readings_frame(spark, rows), lambda m: sent.append(m.select(F.col("value").cast("string")).collect()),
                "2024-01-03", "2024-01-12", slice_days=4)
-    assert n == 3 == len(sent)
+    assert len(sent) == 3 and n == sum(map(len, sent))
     days = [sorted({r.value.split('"timestamp":"')[1][:10] for r in part}) for part in sent]
     assert days[0][0] == "2024-01-03" and days[-1][-1] == "2024-01-12"
     assert days[0][-1] < days[1][0] and days[1][-1] < days[2][0]
@@ -146,3 +146,82 @@ def test_the_last_message_of_a_batch_wins(spark):
     assert [r.value for r in stream._deduplicated(typed).collect()] == [4.0]
     in_place = messages.from_message(spark.createDataFrame([(v,) for v, _ in sent], "value string").coalesce(1))
     assert [r.value for r in stream._deduplicated(in_place).collect()] == [4.0]
+
+
+def test_one_late_row_reopens_only_its_neighbourhood(spark, tmp_path):
+    """Stations far apart: a row that comes weeks late rewrites its own station and those that listen to it."""
+    places = [("near-a", 34.0, -118.0, 0.0), ("near-b", 34.05, -118.0, 50.0), ("far-c", 36.0, -120.0, 0.0), ("far-d", 36.05, -120.0, 9.0)]
+    stations = station_frame(spark, places).cache()
+    edges = neighbor_edges(stations).cache()
+    rows = [(s[0], "pm25", float(h % 24 + i), h) for i, s in enumerate(places) for h in range(24 * 40)]
+    late = ("near-a", "pm25", 99.0, 50)
+    root = str(tmp_path)
+    stream.process_batch(readings_frame(spark, [r for r in rows if r[3] < 900 and (r[0], r[3]) != ("near-a", 50)]), 0, root, stations, edges, *ENDS)
+    stream.process_batch(readings_frame(spark, [r for r in rows if r[3] >= 900] + [late]), 1, root, stations, edges, *ENDS)
+    sent = stream.StreamState(spark, root).features
+    rewritten = sent._open([(2, d) for d, n in sent.segments().items() if 2 in n])
+    hours = {r.station_id: r.n for r in rewritten.groupBy("station_id").agg(F.count("*").alias("n")).collect()}
+    assert hours == {"near-a": 24 * 40 - 25, "near-b": 24 * 40 - 25, "far-c": 60 + 25, "far-d": 60 + 25}
+    final = [r for r in rows if (r[0], r[3]) != ("near-a", 50)] + [late]
+    want = as_rows(build_features(readings_frame(spark, final), stations, edges, *ENDS))
+    got = as_rows(stream.current_features(spark, root))
+    assert got.keys() == want.keys()
+    assert all(got[k] == {c: getattr(v, "expected", v) for c, v in want[k].items()} for k in want)
+
+
+def test_a_station_that_starts_last_reaches_all_hours_of_its_listeners(spark, world, tmp_path):
+    stations, edges, rows = world
+    newcomer = NAMES[2]
+    root = str(tmp_path)
+    stream.process_batch(readings_frame(spark, [r for r in rows if r[0] != newcomer and r[3] < 300]), 0, root, stations, edges, *ENDS)
+    last = [r for r in rows if r[3] >= 300]
+    stream.process_batch(readings_frame(spark, last), 1, root, stations, edges, *ENDS)
+    final = [r for r in rows if r[0] != newcomer or r[3] >= 300]
+    want = as_rows(build_features(readings_frame(spark, final), stations, edges, *ENDS))
+    got = as_rows(stream.current_features(spark, root))
+    assert got.keys() == want.keys()
+    assert all(got[k] == {c: getattr(v, "expected", v) for c, v in want[k].items()} for k in want)
+
+
+def test_logs_open_only_days_in_reach_and_merge_themselves(spark, world, tmp_path):
+    stations, edges, rows = world
+    root = str(tmp_path)
+    part = lambda nr: readings_frame(spark, [r for r in rows if r[3] % 4 == nr % 4 and r[3] < 24 * 18])
+    for nr in range(4):  # every batch has rows of all days
+        stream.process_batch(part(nr), nr, root, stations, edges, *ENDS)
+    state = stream.StreamState(spark, root)
+    before = as_rows(stream.current_features(spark, root))
+    opened = state.features.read(3, "2024-01-15").inputFiles()
+    assert opened and all(f.split("day=")[1][:10] >= "2024-01-15" for f in opened)
+    most = max(map(len, state.features.segments().values()))
+    assert most > 2
+    assert state.features.compact(3, 2) > 0 and state.features.compact(3, 2) == 0
+    assert as_rows(stream.current_features(spark, root)) == {
+        k: {c: getattr(v, "expected", v) for c, v in r.items()} for k, r in before.items()
+    }
+    assert all(n[-1] == 7 for n in state.features._live(None, None).values() if len(n) == 1)
+    # a torn segment is not read
+    (tmp_path / "features_log" / "segment=9" / "day=2024-01-03").mkdir(parents=True)
+    assert 9 not in state.features.segments()["2024-01-03"]
+    # a further merge deletes what the first one replaced
+    stream.process_batch(part(0), 5, root, stations, edges, *ENDS)
+    assert state.features.compact(5, 1) > 0
+    assert min(state.features.segments()["2024-01-05"]) == 7
+
+
+def test_redelivered_and_too_late_messages(spark, tmp_path):
+    def send(name, rows):
+        messages.to_message(readings_frame(spark, rows)).select(F.col("value").cast("string")).coalesce(1).write.mode("append").text(str(tmp_path / "in"))
+        source = messages.from_message(messages.file_source(spark, str(tmp_path / "in")))
+        query = stream.distinct_messages(source, "48 hours").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        query.option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination()
+
+    send(0, [("a", "pm25", 1.0, 100), ("a", "pm25", 1.0, 100), ("a", "pm25", 1.0, 70)])
+    send(1, [("a", "pm25", 1.0, 100), ("a", "pm25", 2.0, 100), ("a", "pm25", 1.0, 60), ("a", "pm25", 1.0, 51), ("b", "o3", 1.0, 140)])
+    send(2, [("a", "pm25", 1.0, 100), ("a", "pm25", 5.0, 95), ("a", "pm25", 5.0, 91), ("b", "o3", 1.0, 140)])
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    first = min(r.timestamp for r in got)
+    # hours 51 (before 100 - 48) and 91 (before 140 - 48) came too late
+    assert sorted((r.station_id, (r.timestamp - first).total_seconds() / 3600 + 60, r.value) for r in got) == [
+        ("a", 60, 1.0), ("a", 70, 1.0), ("a", 95, 5.0), ("a", 100, 1.0), ("a", 100, 2.0), ("b", 140, 1.0)
+    ]
