@@ -3,8 +3,9 @@
 Ranking inside one window per key would send a quarter of all rows to one
 task when there are four keys. Here equal values are first collapsed to one row
 with a count (before the exchange, so a value shared by most rows costs
-nothing), values fall into ordered buckets of bounded relative width, bucket
-totals give each bucket its offset, and only rows inside a bucket are ranked.
+nothing). Splitters per key, approximate quantiles of its distinct values, cut them into ordered buckets of
+nearly equal numbers of values, however narrow the band they lie in. Bucket totals then give each bucket its
+exact offset, and only rows inside a bucket are ranked, so the result does not depend on the splitters.
 """
 
 from __future__ import annotations
@@ -13,26 +14,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_PER_OCTAVE = 64
+from hourweave.session import written
 
+#: Distinct values a bucket of the largest key should hold, and the most buckets of a key.
+BUCKET_VALUES = 2_000
+MOST_BUCKETS = 1024
 
-def value_bucket(value: Column) -> Column:
-    """A non-decreasing function of the value: about 64 buckets per power of two."""
-    size = F.floor(F.log2(F.abs(value)) * _PER_OCTAVE) + 200_000
-    return (
-        F.when(value == 0, F.lit(0).cast("bigint"))
-        .when(value > 0, size)
-        .otherwise(-size)
-    )
+
+def _splitters(collapsed: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
+    """(keys, _cuts): of each key the sorted values that end its buckets."""
+    levels = [i / buckets for i in range(1, buckets)]
+    marks = F.percentile_approx(value, levels, 4 * buckets)
+    return collapsed.groupBy(*keys).agg(F.array_distinct(marks).cast("array<double>").alias("_cuts"))
+
+
+def _bucket(cuts: Column, value: Column) -> Column:
+    """How many cuts lie below the value, by halving."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(MOST_BUCKETS.bit_length()))])
+
+    def further(at: Column, step: Column) -> Column:
+        return F.when(F.coalesce(F.get(cuts, at + step - 1) < value, F.lit(False)), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), further)
 
 
 def _collapsed(df: DataFrame, keys: list[str], value: str, weights: list[str]) -> DataFrame:
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(*[F.sum(w).alias(w) for w in weights])
-        .withColumn("_bucket", value_bucket(F.col(value)))
-    )
+    """Distinct (keys, value) with summed weights and ``_bucket``; written, since it is read more than once."""
+    rows = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[F.sum(w).alias(w) for w in weights])
+    rows = written(rows, "ordered_values")
+    # one number comes to the driver: how many distinct values the largest key has
+    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    buckets = min(-(-largest // BUCKET_VALUES), MOST_BUCKETS)
+    if buckets <= 1:
+        return rows.withColumn("_bucket", F.lit(0))
+    # one row per key, written so that every use of the buckets has the same cuts
+    cuts = written(_splitters(rows, keys, value, buckets), "ordered_cuts")
+    held = rows.join(cuts, keys)
+    return held.withColumn("_bucket", _bucket(F.col("_cuts"), F.col(value).cast("double"))).drop("_cuts")
 
 
 def _bucket_offsets(collapsed: DataFrame, keys: list[str], weights: list[str]) -> DataFrame:
@@ -98,17 +116,18 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, levels) -> DataF
     ).drop("_below", "_above")
 
 
-def dense_index(df: DataFrame, column: str, prefix: int = 6) -> DataFrame:
+def dense_index(df: DataFrame, column: str) -> DataFrame:
     """Distinct values with their 0-based position in sorted order (``ix``).
 
-    Positions are counted per prefix and shifted by the totals of smaller
-    prefixes, so only the prefixes meet in one task.
+    Values are dealt to tasks by range, numbered inside their task and shifted by the sizes of the tasks
+    before; only these sizes meet in one task. The dealing is written, so that sizes and numbers agree.
     """
-    distinct = df.select(column).distinct().withColumn("_p", F.substring(column, 1, prefix))
-    sizes = distinct.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = df.select(column).distinct().repartitionByRange(column).withColumn("_p", F.spark_partition_id())
+    dealt = written(ranged, "dense_index")
+    sizes = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = W.partitionBy("_p").orderBy(column)
-    return distinct.join(offsets, "_p").select(
+    return dealt.join(offsets, "_p").select(
         column, (F.col("_off") + F.row_number().over(inside) - 1).alias("ix")
     )

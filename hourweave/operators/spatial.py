@@ -36,33 +36,31 @@ def with_elevation_gap(edges: DataFrame, stations: DataFrame) -> DataFrame:
     )
 
 
-def _sends(features: DataFrame, edges: DataFrame, settings: list | None) -> DataFrame:
-    """Each row once per listening station (``to``, ``weight``) and once for its own
-    station with a null weight; with ``settings`` all of that per (lam, cutoff).
+def _weights(edges: DataFrame, settings: list | None) -> DataFrame:
+    """(station_id, to, w0, w1, ..): per edge one weight per setting, null where the setting lacks it."""
+    ends = [F.col("neighbor_id").alias("station_id"), F.col("station_id").alias("to")]
+    if not settings:
+        return edges.select(*ends, F.col("weight").alias("w0"))
+    weight = F.col("weight")
+    chosen = [
+        F.max(F.when((F.col("lam") == float(lam)) & (F.col("cutoff") == float(cutoff)), weight)).alias(f"w{i}")
+        for i, (lam, cutoff) in enumerate(settings)
+    ]
+    return edges.groupBy("neighbor_id", "station_id").agg(*chosen).select(*ends, *[f"w{i}" for i in range(len(settings))])
+
+
+def _sends(features: DataFrame, heard: DataFrame) -> DataFrame:
+    """Each row once per listening station with the edge's weights, and once for its own station (``is_own``).
 
     One join: senders also list themselves, and stations without listeners come
     out of the left join unmatched. No hint, so Spark broadcasts the edges
     only while they are small and can split a station that holds many rows.
     """
-    by = ["lam", "cutoff"] if settings else []
-    heard = edges.select(
-        *by, F.col("neighbor_id").alias("station_id"), F.col("station_id").alias("to"), "weight"
-    )
-    every = F.array(
-        *[
-            F.struct(F.lit(float(lam)).alias("lam"), F.lit(float(cutoff)).alias("cutoff"))
-            for lam, cutoff in settings or []
-        ]
-    )
     senders = heard.select("station_id").distinct()
-    if settings:
-        senders = senders.select("station_id", F.inline(every))
-    own = senders.select(*by, "station_id", F.col("station_id").alias("to"), F.lit(None).cast("double").alias("weight"))
-    routed = features.join(heard.unionByName(own), "station_id", "left")
-    if settings:
-        this = F.array(F.struct("lam", "cutoff"))
-        routed = routed.withColumn("_s", F.explode(F.when(F.col("to").isNull(), every).otherwise(this)))
-        routed = routed.withColumns({c: F.col(f"_s.{c}") for c in by}).drop("_s")
+    own = senders.select("station_id", F.col("station_id").alias("to"), F.lit(True).alias("is_own"))
+    both = heard.withColumn("is_own", F.lit(False)).unionByName(own, allowMissingColumns=True)
+    routed = features.join(both, "station_id", "left")
+    routed = routed.withColumn("is_own", F.coalesce("is_own", F.lit(True)))
     return routed.withColumn("station_id", F.coalesce("to", "station_id")).drop("to")
 
 
@@ -72,40 +70,53 @@ def neighbor_means(features: DataFrame, edges: DataFrame, settings: list | None
     One pass: a row becomes its own copy and one contribution per listening
     station. The own copy travels as a struct that is null in contributions, so
     those stay narrow. Lags are taken on the receiving station's grid. With
-    ``settings`` the edges carry (lam, cutoff) and so does the result.
+    ``settings`` the edges carry (lam, cutoff) and so does the result: a row is still sent once per edge that any
+    setting has, with all weights of the edge, and the settings part after the sums.
     """
     keep = [c for c in features.columns if c not in ("station_id", "timestamp")]
-    by = ["lam", "cutoff"] if settings else []
     rows = with_halo(features, before=max(k for _, k in _LAGGED.values()))
-    weight = F.col("weight")
-    routed = _sends(rows, edges, settings)
+    weights = [f"w{i}" for i in range(len(settings or [None]))]
+    routed = _sends(rows, _weights(edges, settings))
     # a contribution without any value changes no mean
-    routed = routed.where(weight.isNull() | F.coalesce(*_SOURCES).isNotNull())
+    routed = routed.where(F.col("is_own") | F.coalesce(*_SOURCES).isNotNull())
     packed = routed.select(
-        *by,
         "station_id",
         "block",
         "timestamp",
-        F.when(weight.isNull(), F.struct(*keep)).alias("own"),
-        "weight",
-        *[F.when(weight.isNotNull(), F.col(s)).alias(f"_{s}") for s in _SOURCES],
+        F.when(F.col("is_own"), F.struct(*keep)).alias("own"),
+        *weights,
+        *[F.when(~F.col("is_own"), F.col(s)).alias(f"_{s}") for s in _SOURCES],
     )
     merged = (
-        packed.repartition(*by, "station_id", "block")
-        .groupBy(*by, "station_id", "block", "timestamp")
+        packed.repartition("station_id", "block")
+        .groupBy("station_id", "block", "timestamp")
         .agg(
             F.first("own", ignorenulls=True).alias("own"),
-            *[weighted_mean(F.col(f"_{s}"), F.col("weight")).alias(f"_{s}") for s in _SOURCES],
+            *[weighted_mean(F.col(f"_{s}"), F.col(w)).alias(f"_{s}_{w}") for s in _SOURCES for w in weights],
         )
         .where(F.col("own").isNotNull())
+        .select(
+            "station_id", "block", "timestamp", "own",
+            *[F.array(*[f"_{s}_{w}" for w in weights]).alias(f"_{s}") for s in _SOURCES],
+        )
     )
-    order = in_time(*by)
+    order = in_time()
     lagged = {
         name: (F.lag(f"_{source}", k).over(order) if k else F.col(f"_{source}"))
         for name, (source, k) in _LAGGED.items()
     }
     out = own_rows(merged.withColumns(lagged))
-    return out.select(*by, "station_id", "timestamp", "own.*", *_LAGGED)
+    if not settings:
+        return out.select("station_id", "timestamp", "own.*", *[F.get(c, F.lit(0)).alias(c) for c in _LAGGED])
+    each = [
+        F.struct(
+            F.lit(float(lam)).alias("lam"), F.lit(float(cutoff)).alias("cutoff"),
+            *[F.get(c, F.lit(i)).alias(c) for c in _LAGGED],
+        )
+        for i, (lam, cutoff) in enumerate(settings)
+    ]
+    parted = out.select("station_id", "timestamp", "own", F.explode(F.array(*each)).alias("_s"))
+    return parted.select("_s.lam", "_s.cutoff", "station_id", "timestamp", "own.*", *[f"_s.{c}" for c in _LAGGED])
 
 
 def elevation_difference(edges: DataFrame, active: DataFrame) -> DataFrame:

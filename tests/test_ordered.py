@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hourweave.operators import ordered
 from hourweave.operators.drift import ks_statistic
-from hourweave.operators.ordered import dense_index, exact_quantiles, running_totals, value_bucket
+from hourweave.operators.ordered import dense_index, exact_quantiles, running_totals
 
 
 def test_quantiles_equal_numpy_with_a_hot_value(spark):
@@ -24,11 +25,30 @@ def test_quantiles_equal_numpy_with_a_hot_value(spark):
         assert r.quantile == pytest.approx(float(np.quantile(data[r.k], r.level)), rel=1e-12, abs=1e-15)
 
 
-def test_bucket_never_decreases(spark):
-    v = np.sort(np.concatenate([np.random.default_rng(1).normal(0, 1, 2000), [0.0, 1e-300, -1e-300, 1e300], 2.0 ** np.arange(-20, 20)]))
-    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i int, v double")
-    b = [r.b for r in df.select("i", value_bucket(F.col("v")).alias("b")).orderBy("i").collect()]
-    assert all(x <= y for x, y in zip(b, b[1:]))
+@pytest.fixture
+def small_buckets(monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKET_VALUES", 40)
+
+
+def test_narrow_bands_fill_buckets_evenly(spark, small_buckets):
+    """200,000 values within a thousandth of each other, hot ones among them, and an extreme one."""
+    rng = np.random.default_rng(1)
+    v = np.concatenate([np.round(100 + rng.random(200_000) / 10, 7), [1e300, -1e300, 0.0], np.full(50_000, 100.05)])
+    df = spark.createDataFrame([(float(x), 1) for x in v], "v double, n bigint").withColumn("k", F.lit("one"))
+    held = ordered._collapsed(df, ["k"], "v", ["n"])
+    sizes = [r["count"] for r in held.groupBy("_bucket").count().collect()]
+    assert len(sizes) > 900 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    ranges = held.groupBy("_bucket").agg(F.min("v").alias("a"), F.max("v").alias("b")).orderBy("_bucket").collect()
+    assert all(x.b < y.a for x, y in zip(ranges, ranges[1:]))
+    levels = [0.0, 0.05, 0.5, 0.999, 1.0]
+    got = exact_quantiles(df, ["k"], "v", lambda n: [F.lit(q) for q in levels]).orderBy("level_nr").collect()
+    assert [r.quantile for r in got] == pytest.approx([float(np.quantile(v, q)) for q in levels], rel=1e-12)
+
+
+def test_quantiles_and_totals_do_not_depend_on_buckets(spark, small_buckets):
+    test_quantiles_equal_numpy_with_a_hot_value(spark)
+    test_ks_against_brute_force(spark)
+    test_running_totals(spark)
 
 
 def test_running_totals(spark):
@@ -43,6 +63,17 @@ def test_dense_index(spark):
     assert {r.station_id: r.ix for r in out} == {"01-000-5": 0, "06-037-1": 1, "06-037-2": 2, "06-111-9": 3}
 
 
+def test_many_ids_with_one_prefix_are_numbered_by_several_tasks(spark):
+    ids = spark.range(100_000).select(F.concat(F.lit("06-037-same-prefix-"), F.hex("id")).alias("station_id"))
+    out = dense_index(ids.union(ids.limit(500)), "station_id")
+    order = [r.station_id for r in out.orderBy("ix").collect()]
+    assert len(order) == 100_000 and order == sorted(order)
+    assert out.agg(F.min("ix"), F.max("ix"), F.countDistinct("ix")).first()[:] == (0, 99_999, 100_000)
+    dealt = out.sparkSession.read.parquet(*{f.rsplit("/", 1)[0] for f in out.inputFiles()})
+    sizes = [r["count"] for r in dealt.groupBy("_p").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 3 * 100_000 / len(sizes)
+
+
 def test_ks_against_brute_force(spark):
     rng = np.random.default_rng(5)
     a, b = np.round(rng.normal(0, 1, 300), 1), np.round(rng.normal(0.4, 1.3, 200), 1)
