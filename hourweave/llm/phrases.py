@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,9 +29,9 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: Suffix pointers a task should hold.
 TASK_POINTERS = 3_000_000
 #: Frequent words sent to the tasks that cut the texts (8 bytes each), which then write words as short numbers; with more of them
-#: texts are not cut and words travel as hashes, which costs time and space but changes nothing else.
+#: texts are not cut and words travel as hashes, which costs time and space but changes nothing else. Below 2^21.
 MAX_WORDS = 2_000_000
-_BATCH_WORDS = 2_000_000
+_BATCH_WORDS, _ROW_POINTERS = 2_000_000, 20_000
 _CACHED = 300_000
 _BREAK = b"\xff"  # never part of UTF-8
 _LOWERED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
@@ -118,9 +118,22 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _suffixes(longest: int, words_known: _Words, tasks: int):
-    """(lang, text) to the distinct suffixes of a batch in order, (route, w1, w2, .., n); ``route`` is the number of a task."""
+    """(lang, text) to the distinct suffixes of a batch in order, by task: (route, w1, w2, .., n) with lists of the suffixes'
+    words and of how often each occurs; ``route`` is the number of the task."""
     kind, hot = words_known.type[0], words_known.hot
 
+    def sort_keys(words: np.ndarray) -> list[np.ndarray]:
+        """The last key first; numbers below 2^21 are sorted three at a time."""
+        if not words_known.all_known:
+            return list(words[::-1])
+        keys = []
+        for a in range(0, longest, 3):
+            key = np.zeros(words.shape[1], np.int64)
+            for w in words[a : a + 3]:
+                key = key << 21 | w
+            keys.append(key)
+        return keys[::-1]
+
     def pack(codes: np.ndarray) -> pa.RecordBatch:
         codes = np.append(codes, np.zeros(longest, kind))
         at = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
@@ -129,11 +142,11 @@ def _suffixes(longest: int, words_known: _Words, tasks: int):
         words[0] = codes[at]
         for d in range(1, longest):
             words[d] = np.where(words[d - 1] > 0, codes[at + d], 0)
-        words = words[:, np.lexsort(words[::-1])]  # neighbours differ little: they are counted together, and pack well
+        words = words[:, np.lexsort(sort_keys(words))]  # neighbours differ little: they are counted together, and pack well
         new = np.ones(len(at), bool)
         new[1:] = (words[:, 1:] != words[:, :-1]).any(0)
         heads = np.flatnonzero(new)
-        n = np.diff(heads, append=len(at))
+        n = np.diff(heads, append=len(at)).astype(np.int32)
         words = words[:, heads]
         route = _mixed(words[0].astype(np.uint64))
         going = _among(words[0], hot)
@@ -141,8 +154,14 @@ def _suffixes(longest: int, words_known: _Words, tasks: int):
             route = np.where(going, _mixed(route * np.uint64(31) + words[d].astype(np.uint64)), route)
             going &= _among(words[d], hot)
         route = ((route >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(route, kind="stable")
+        words, n, route = words[:, order], n[order], route[order]
+        new = np.r_[True, route[1:] != route[:-1]][: len(n)]
+        new[::_ROW_POINTERS] = True
+        edges = np.flatnonzero(new)
+        offsets = pa.array(np.append(edges, len(n)).astype(np.int32))
         return pa.RecordBatch.from_arrays(
-            [pa.array(route), *[pa.array(w) for w in words], pa.array(n)],
+            [pa.array(route[edges]), *[pa.ListArray.from_arrays(offsets, pa.array(w)) for w in (*words, n)]],
             ["route", *[f"w{d + 1}" for d in range(longest)], "n"],
         )
 
@@ -202,12 +221,14 @@ def _frequent_phrases(longest: int, least: int, words_known: _Words):
     hot = words_known.hot
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy() for c in batch.columns] for batch in source]
+        held = []
+        for batch in source:
+            lists = [column.flatten().to_numpy() for column in batch.columns[1:]]
+            held.append((np.stack(lists[:-1]), lists[-1].astype(np.int64)))
         if not held:
             return
-        columns = [np.concatenate(c) for c in zip(*held)]
-        words, n = np.stack(columns[1 : 1 + longest]), columns[1 + longest]
-        del held, columns
+        words, n = np.concatenate([w for w, _ in held], axis=1), np.concatenate([n for _, n in held])
+        del held
         shared: list[tuple[list[int], int]] = []
         among = np.cumprod([_among(w, hot) for w in words], axis=0).astype(bool)
         for d in range(1, longest - 1):  # phrases of d + 1 words
@@ -255,8 +276,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     n_hot = words.where(F.col("f") >= bound).count()
     sent = words.where(F.col("f") >= (least if all_known else bound)).orderBy(F.desc("f"), "code").select("code")
     known = _Words([r[0] for r in sent.collect()], n_hot, all_known)
-    columns = ", ".join(f"w{d + 1} {known.type[1]}" for d in range(longest))
-    dealt = texts.mapInArrow(_suffixes(longest, known, tasks), f"route int, {columns}, n bigint").repartitionById(tasks, "route")
+    lists = ", ".join(f"w{d + 1} array<{known.type[1]}>" for d in range(longest))
+    suffixes = texts.mapInArrow(_suffixes(longest, known, tasks), f"route int, {lists}, n array<int>")
+    dealt = suffixes.repartitionById(tasks, "route")
     found = dealt.mapInArrow(_frequent_phrases(longest, least, known), "phrase array<bigint>, n bigint")
     found = found.groupBy("phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     single = words.select(F.array("code").alias("phrase"), "f")
