@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Hashed features.
@@ -72,20 +73,25 @@ class Model:
 
 
 def sampled(labelled: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """About ``per_language`` different texts (text, lang) of each language, chosen by text hash, ``sample`` at most.
+    """``per_language`` different texts (text, lang) of each language, all where it has fewer, ``sample`` at most.
 
-    Which texts are taken is settled on hashes alone, so no others are moved. The ``sample`` most frequent languages take part.
+    They are the ones of smallest hash, however often they are repeated. Which ones is settled on hashes
+    alone, so no other texts are moved. The ``sample`` most frequent languages take part.
     """
     spark = labelled.sparkSession
     usable = labelled.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text", "lang").alias("h"))
-    per = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()
+    per = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.approx_count_distinct("h").alias("texts"))
+    per = per.orderBy(F.desc("count"), "lang").limit(sample).collect()
     each = min(per_language, max(1, sample // max(1, len(per))))
-    shares = spark.createDataFrame([(r["lang"], each / r["count"]) for r in per], "_lang string, share double")
-    unit = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # with room for chance, so that enough different texts of every language pass; the smallest hashes of these stay
+    shares = spark.createDataFrame([(r["lang"], (2.0 * each + 100) / r["texts"]) for r in per], "_lang string, share double")
+    unit = F.shiftrightunsigned("h", 34) / F.lit(float(1 << 30))
     # at most ``sample`` rows, so a bounded broadcast
     taken = usable.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(unit < F.col("share"))
-    last = taken.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).head()[0]
-    return taken.where(F.col("h") <= F.lit(last).cast("bigint")).dropDuplicates(["h"]).select("text", "lang")
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 34), "h"))
+    chosen = taken.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= each).select("lang", "h")
+    # at most ``sample`` hashes, so a bounded broadcast
+    return taken.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("text", "lang")
 
 
 def fit(labelled: DataFrame, per_cluster: int = CENTROIDS, **bounds) -> Model | None:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hourweave.llm import packing, phrases, pieces, queries, whitening
+from hourweave.llm import language, packing, phrases, pieces, queries, whitening
 from tests.llm.helpers import none, odd, rows
 
 SF = "/root/testdata/sf0.001"
@@ -280,3 +280,19 @@ def test_packing_query(spark, tokenizer):
     for r in got:
         check[r["doc_id"]] += r["length"]
     assert check == {i: len(x) for i, x in ids.items()}
+
+
+# --- a language of few, much repeated texts ---------------------------------
+
+def test_a_language_of_copies_is_learned(spark):
+    german = "der hund und die katze liefen über die straße und fanden nichts als regen und wind in der nacht"
+    r = random.Random(1)
+    pool = "the of and to in that it was he for on with as his at by had not are but from or have an they".split()
+    english = [" ".join(r.choices(pool, k=30)) for _ in range(3000)]
+    rows = [(i, german, "de") for i in range(6000)] + [(6000 + i, t, "en") for i, t in enumerate(english)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    taken = language.sampled(docs, sample=1000, per_language=200)
+    assert {x["lang"]: x["count"] for x in taken.groupBy("lang").count().collect()} == {"de": 1, "en": 200}
+    assert sorted(taken.collect()) == sorted(language.sampled(docs.repartition(7), sample=1000, per_language=200).collect())
+    found = language.predict(docs.where("doc_id % 500 = 0"), language.fit(docs)).select("doc_id", "lang_pred").collect()
+    assert {x.lang_pred for x in found if x.doc_id < 6000} == {"de"} and {x.lang_pred for x in found if x.doc_id >= 6000} == {"en"}
