@@ -25,14 +25,16 @@ _FOLD_DAYS = 32
 
 
 def linear_and_pending(
-    grid: DataFrame, linear_max: int = LINEAR_MAX, median_max: int = MEDIAN_MAX
+    grid: DataFrame, linear_max: int = LINEAR_MAX, median_max: int = MEDIAN_MAX, halo: int = MEDIAN_MAX
 ) -> DataFrame:
     """First tier, plus ``pending``: a bit per parameter that awaits the median tier.
 
-    ``grid`` comes from ``blocked_grid`` with a halo of at least ``median_max``
-    hours. A run that reaches beyond the halo measures longer than
+    ``grid`` comes from ``blocked_grid`` with ``halo`` hours, at least ``median_max``
+    of them. A run that reaches beyond the halo measures longer than
     ``median_max``, which is all that matters about it.
     """
+    if max(linear_max, median_max) > halo:
+        raise ValueError(f"gaps of up to {max(linear_max, median_max)} hours need a grid with as long a halo, not {halo} hours")
     params = model.PARAMETERS
     hour = hour_number(F.col("timestamp"))
     past = in_time().rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -155,6 +157,6 @@ def fill_pending(df: DataFrame) -> DataFrame:
 
 
 def impute(
-    blocked: DataFrame, linear_max: int = LINEAR_MAX, median_max: int = MEDIAN_MAX
+    blocked: DataFrame, linear_max: int = LINEAR_MAX, median_max: int = MEDIAN_MAX, halo: int = MEDIAN_MAX
 ) -> DataFrame:
-    return fill_pending(linear_and_pending(blocked, linear_max, median_max))
+    return fill_pending(linear_and_pending(blocked, linear_max, median_max, halo))

@@ -431,13 +431,13 @@ def q_psi(spark, d):
 
 
 def q_ks(spark, d):
-    probs = drift.add_batch(breaches(spark, d), "window_start", 3)
-    return drift.ks_statistic(probs, "p_advisory", 3)
+    probs = drift.add_batch(breaches(spark, d), "window_start")
+    return drift.ks_statistic(probs, "p_advisory")
 
 
 def q_brier_drift(spark, d):
     test, outcomes = breaches(spark, d), ensemble(spark, d, "test")[1]
-    per_batch = alerts.brier(drift.add_batch(test, "window_start", 3), outcomes, by=[F.col("batch")])
+    per_batch = alerts.brier(drift.add_batch(test, "window_start"), outcomes, by=[F.col("batch")])
     val = alerts.brier(breaches(spark, d, "val"), ensemble(spark, d, "val")[1], by=[F.lit("val").alias("period")])
     return drift.brier_drift(per_batch, val)
 

@@ -191,14 +191,14 @@ def psi() -> str:
 
 
 def ks() -> str:
-    extra = (f"b AS MATERIALIZED (SELECT p_advisory AS v, {_batch('window_start', 'breach_test', 3)} AS batch FROM breach_test)",)
+    extra = (f"b AS MATERIALIZED (SELECT p_advisory AS v, {_batch('window_start', 'breach_test', 4)} AS batch FROM breach_test)",)
     return compose(
         f"""
 SELECT versus, {r('max(abs(c1 / n1 - c2 / n2))')} AS ks, any_value(n1) AS n_first, any_value(n2) AS n_other FROM (
   SELECT q.versus, x.v, (SELECT count(*) FROM b WHERE batch = 1) AS n1, (SELECT count(*) FROM b WHERE batch = q.versus) AS n2,
          (SELECT count(*) FROM b WHERE batch = 1 AND b.v <= x.v) AS c1,
          (SELECT count(*) FROM b WHERE batch = q.versus AND b.v <= x.v) AS c2
-  FROM (VALUES (2), (3)) q(versus) CROSS JOIN (SELECT DISTINCT v FROM b) x) z
+  FROM (VALUES (2), (3), (4)) q(versus) CROSS JOIN (SELECT DISTINCT v FROM b) x) z
 GROUP BY versus""",
         "breach_test",
         extra=extra,
@@ -207,7 +207,7 @@ GROUP BY versus""",
 
 def brier_drift() -> str:
     extra = (
-        f"joined AS (SELECT *, {_batch('window_start', 'breach_test', 3)} AS batch FROM breach_test JOIN actuals_test USING ({KEY}))",
+        f"joined AS (SELECT *, {_batch('window_start', 'breach_test', 4)} AS batch FROM breach_test JOIN actuals_test USING ({KEY}))",
         f"per AS (SELECT batch, count(*) AS n, {BRIER} FROM joined GROUP BY batch)",
         f"val AS (SELECT {BRIER} FROM breach_val JOIN actuals_val USING ({KEY}))",
     )

@@ -87,3 +87,13 @@ def test_gap_runs_longer_than_a_block(spark, small_blocks):
     assert found == [(1, True, True), (299, True, True)]
     whole = gap_runs(hourly_grid(readings_frame(spark, rows))).where("parameter = 'co'").collect()
     assert [(r.run_hours, r.has_left, r.has_right) for r in whole] == [(303, False, False)]
+
+
+def test_gaps_longer_than_the_halo_are_refused(spark):
+    from hourweave.operators.grid import blocked_grid
+    from hourweave.operators.impute import impute
+
+    readings = readings_frame(spark, [("a", "pm25", 1.0, h) for h in (0, 40, 41)])
+    with pytest.raises(ValueError):
+        impute(blocked_grid(readings, halo=24), median_max=48)
+    assert impute(blocked_grid(readings, halo=48), median_max=48, halo=48).count() == 42
