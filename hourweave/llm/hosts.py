@@ -8,6 +8,8 @@ join and a sum in Spark over (host, host) edges with multiplicities.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ RULES = (
 )
 DAMPING = 0.85
 TOLERANCE = 1e-9
-MAX_STEPS = 50
+MAX_STEPS = 200
 #: Share of distrust in a host's trust and distrust from which on it is blocked.
 THRESHOLD = 0.75
 #: Steps between two writes of the ranks, which cut their lineage.
@@ -68,7 +70,8 @@ def propagate(
     ``links`` is (src, dst, n), ``seeds`` is (host, trusted, blocked), non-negative weights. Trust follows
     links, distrust goes against them. What leaves no link returns to the seeds, so either
     rank sums to 1, or is 0 everywhere if it has no seed. Stops when ranks move
-    less than ``tolerance`` in sum; ranks are rounded to 12 places.
+    less than ``tolerance`` in sum, and fails if they still do after ``steps``. Ranks are rounded to 12 places
+    below the smallest seed's share, so that no host that a seed reaches falls to 0 in a graph of very many seeds.
     """
     arcs = links.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").union(
         links.select(F.lit("distrust"), "dst", "src", "n")
@@ -80,6 +83,10 @@ def propagate(
     )
     sums = base.groupBy("kind").agg(F.sum("seed").alias("total"))
     base = written(base.where("seed > 0").join(sums, "kind").select("kind", "host", (F.col("seed") / F.col("total")).alias("seed")), "seeds")
+    least = base.agg(F.min("seed")).head()[0]
+    if least is None:  # no seeds, no ranks
+        return base.select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
+    places = 12 + math.ceil(-math.log10(least))
     ranks = base.withColumnRenamed("seed", "rank")
     for step in range(1, steps + 1):
         moved = arcs.join(ranks.withColumnRenamed("host", "a"), ["kind", "a"])
@@ -89,8 +96,8 @@ def propagate(
             "kind", "host", (F.col("seed") * (1 - F.coalesce("kept", F.lit(0.0)))).alias("inflow")
         )
         fresh = inflow.select("kind", "host", "inflow").union(again)
-        fresh = fresh.groupBy("kind", "host").agg(F.round(F.sum("inflow"), 12).alias("rank"))
-        if step % WRITE_EVERY and step > 1:
+        fresh = fresh.groupBy("kind", "host").agg(F.round(F.sum("inflow"), places).alias("rank"))
+        if step % WRITE_EVERY and 1 < step < steps:
             ranks = fresh
             continue
         fresh = written(fresh, "ranks")
@@ -99,6 +106,8 @@ def propagate(
         ranks = fresh
         if moved_by < tolerance:
             break
+    else:
+        raise ArithmeticError(f"ranks still move by {moved_by} after {steps} steps")
     rank = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     return ranks.groupBy("host").agg(rank("trust"), rank("distrust"))
 

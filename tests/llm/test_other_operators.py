@@ -85,7 +85,7 @@ def test_ranks_equal_power_iteration(spark):
     links = [(a, b, n) for (a, b), n in links.items()]
     good, bad = {"h1": 3, "h2": 1}, {"h9": 2, "alone": 1}
     seeds = spark.createDataFrame([(h, good.get(h, 0), bad.get(h, 0)) for h in {*good, *bad}], "host string, trusted int, blocked int")
-    found = {x.host: x for x in hosts.propagate(spark.createDataFrame(links, "src string, dst string, n int"), seeds, steps=150).collect()}
+    found = {x.host: x for x in hosts.propagate(spark.createDataFrame(links, "src string, dst string, n int"), seeds).collect()}
     trust = page_rank(links, good)
     distrust = page_rank([(b, a, n) for a, b, n in links], bad)
     for h in {*trust, *distrust}:
@@ -158,3 +158,23 @@ def test_pipeline_on_odd_rows(spark):
             docs = corpus_pipeline.written(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
             assert docs.columns == table.columns
         corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+
+
+def test_ranks_on_a_ring_settle_with_the_shipped_steps(spark):
+    links = [(f"h{i}", f"h{(i + 1) % 12}", 1) for i in range(12)]
+    seeds = spark.createDataFrame([("h0", 1, 0), ("h6", 0, 1)], "host string, trusted int, blocked int")
+    ring = spark.createDataFrame(links, "src string, dst string, n int")
+    found = {x.host: x for x in hosts.propagate(ring, seeds).collect()}
+    for i in range(12):  # the walk returns to its seed with 0.15 from everywhere
+        assert found[f"h{i}"].trust == pytest.approx(0.15 * 0.85**i / (1 - 0.85**12), abs=1e-8)
+        assert found[f"h{i}"].distrust == pytest.approx(0.15 * 0.85 ** ((6 - i) % 12) / (1 - 0.85**12), abs=1e-8)
+    with pytest.raises(ArithmeticError):
+        hosts.propagate(ring, seeds, steps=20)
+    assert hosts.propagate(ring, seeds.limit(0)).count() == 0
+
+
+def test_small_seeds_keep_their_rank(spark):
+    seeds = spark.range(1000).select(F.concat(F.lit("s"), "id").alias("host"), F.when(F.col("id") == 0, 1).otherwise(10**12).alias("trusted"), F.lit(0).alias("blocked"))
+    links = spark.createDataFrame([("s0", "t", 1)], "src string, dst string, n int")
+    found = {x.host: x.trust for x in hosts.propagate(links, seeds).where("host in ('s0', 't')").collect()}
+    assert 0 < found["t"] < found["s0"] < 1e-14
