@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hourweave.llm.expressions import word_count
+from hourweave.session import written
 
 #: Weights of the sources in code point order, repeating; null is the last source.
 WEIGHTS = (1, 2, 3)
@@ -134,6 +135,18 @@ def assign(docs: DataFrame, weights=WEIGHTS, passes: int = PASSES, schedules=SCH
     )
 
 
+def by_position(plan: DataFrame) -> DataFrame:
+    """The rows of ``assign`` with the ``position`` of their first copy, range-sorted by it.
+
+    Rows without copies have no position; they are spread behind the others by a hash of their id.
+    """
+    placed = plan.withColumn("position", F.get("copies", F.lit(0))["position"])
+    spread = F.lit(1.0) + F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) / F.lit(float(1 << 32))
+    # written, so that the sample that the ranges are drawn from does not make the plan run twice
+    placed = written(placed.withColumn("_order", F.coalesce("position", spread)), "mix_positions")
+    return placed.repartitionByRange("_order", "key").sortWithinPartitions("_order", "key").drop("_order")
+
+
 def row_key(docs: DataFrame) -> Column:
     """A hash of all columns that can be hashed; rows with an equal one are taken as equal."""
     usable = [f.name for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]

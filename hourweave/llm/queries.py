@@ -74,7 +74,9 @@ def op3_line_dedup(spark, d):
 
 
 def op4_source_mix(spark, d):
-    return mixing.assign(_read(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Documents by the training position of their first copy (null: not taken; those come last, in no order)."""
+    plan = mixing.by_position(mixing.assign(_read(spark, d, "documents")))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 def op5_url_filters(spark, d):
@@ -173,17 +175,23 @@ levels AS (
 chosen AS (
   SELECT level AS water FROM levels WHERE level * weight <= full_size ORDER BY full_size / weight, place LIMIT 1),
 targets AS (
-  SELECT source, source_size, least(full_size::DOUBLE, water * weight) AS target FROM levels, chosen),
+  SELECT source, source_size, place, least(full_size::DOUBLE, water * weight) AS target FROM levels, chosen),
 streamed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, round(t.target)::BIGINT AS quota,
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.place, round(t.target)::BIGINT AS quota,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(s.doc_id::VARCHAR), s.doc_id, s.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS started
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+mixed AS (
+SELECT doc_id, size, source_size, target, place, started / nullif(quota, 0) AS u,
        CASE WHEN source_size = 0 THEN 0
             ELSE (quota // source_size) * size
                  + least(greatest(quota - (quota // source_size) * source_size - started, 0), size) END::BIGINT AS taken
-FROM streamed
+FROM streamed)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(CASE place % 3
+  WHEN 0 THEN CASE WHEN u < 0.5 THEN u / 0.5 WHEN u < 5 / 6 THEN 1 + (u - 0.5) * 3 ELSE 2 + (u - 5 / 6) * 6 END
+  WHEN 1 THEN u * 3
+  ELSE CASE WHEN u < 1 / 6 THEN u * 6 WHEN u < 0.5 THEN 1 + (u - 1 / 6) * 3 ELSE 2 + (u - 0.5) / 0.5 END END / 3, 9) END AS position
+FROM mixed
 """,
     "op8_top_k": """
 WITH usable AS (

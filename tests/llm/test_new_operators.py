@@ -296,3 +296,11 @@ def test_a_language_of_copies_is_learned(spark):
     assert sorted(taken.collect()) == sorted(language.sampled(docs.repartition(7), sample=1000, per_language=200).collect())
     found = language.predict(docs.where("doc_id % 500 = 0"), language.fit(docs)).select("doc_id", "lang_pred").collect()
     assert {x.lang_pred for x in found if x.doc_id < 6000} == {"de"} and {x.lang_pred for x in found if x.doc_id >= 6000} == {"en"}
+
+
+# --- the mix in training order ---------------------------------------------
+
+def test_mix_query_is_range_sorted_by_position(spark):
+    got = [r.position for r in queries.op4_source_mix(spark, SF).collect()]
+    taken = [p for p in got if p is not None]
+    assert taken and taken == sorted(taken) == got[: len(taken)] and 0 <= taken[0] <= taken[-1] <= 1
