@@ -3,9 +3,10 @@
 1. A line is the set of its character shingles, windows of eight bytes of its UTF-8 text, hashed. The
    smallest hashes in order are its MinHash signature.
 2. Banding: each run of four consecutive signature values is a band, where a run starts at one of the first
-   values or at a value divisible by four. Runs are compared by content, not by number, so an inserted shingle
-   breaks only the runs around it. Lines of similarity 0.75 share a band with probability
-   of about 0.99, more similar ones nearly always.
+   values or at a value divisible by four (in lines of few shingles: by two). Runs are compared by content, not by number,
+   so an inserted shingle breaks only the runs around it. A run is whole: one that the signature's end cuts off would be
+   the band of all lines with one common shingle. Lines of similarity 0.75 share a band with probability
+   of about 0.98, more similar ones nearly always.
 3. Lines of a band are joined to the band's smallest line, a star instead of all pairs, and each such pair is verified
    by the exact Jaccard similarity of the whole sets.
 4. Distributed union-find forms components. Lines of a band that are in different components are then compared too, a few
@@ -27,7 +28,7 @@ from hourweave.session import written
 
 SHINGLE = 8
 #: Values of a signature, values of a run, and starts that need no divisibility.
-SIGNATURE, RUN, FIRST = 40, 4, 4
+SIGNATURE, RUN, FIRST = 44, 4, 4
 #: 4 * shared >= 3 * all shingles: a Jaccard similarity of 0.75.
 SIMILARITY = (3, 4)
 #: Lines of a band that are compared with its others in the first round after the hub's, about.
@@ -47,14 +48,28 @@ def shingles(line: Column) -> Column:
 
 
 def signature(hashes: Column) -> Column:
-    """The smallest distinct hashes in order."""
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SIGNATURE)
+    """The smallest distinct hashes in order.
+
+    Of long lines only hashes below a bound that about three signatures pass are made distinct and sorted; where
+    repeats leave too few of them, all are.
+    """
+
+    def low(h: Column) -> Column:
+        bound = F.lit(3.0 * SIGNATURE * 2**64) / F.size(h) - F.lit(2.0**63)
+        return let(bound.cast("bigint"), lambda b: F.array_distinct(F.filter(h, lambda x: x < b)))
+
+    def smallest(h: Column) -> Column:
+        few = F.when(F.size(h) > 6 * SIGNATURE, low(h))
+        return let(few, lambda s: F.when(F.size(s) >= SIGNATURE, s).otherwise(F.array_distinct(h)))
+
+    return F.slice(F.sort_array(let(hashes, smallest)), 1, SIGNATURE)
 
 
 def bands(values: Column) -> Column:
     def runs(s: Column) -> Column:
         run = lambda i: F.xxhash64(*[F.get(s, i + j) for j in range(RUN)])
-        starts = lambda x, i: (i < FIRST) | (x.bitwiseAND(F.lit(3)) == 0)
+        bits = F.when(F.size(s) < SIGNATURE, F.lit(1)).otherwise(F.lit(3)).cast("bigint")
+        starts = lambda x, i: (i == 0) | (((i < FIRST) | (x.bitwiseAND(bits) == 0)) & (i <= F.size(s) - RUN))
         return F.filter(F.transform(s, lambda x, i: F.when(starts(x, i), run(i))), lambda v: v.isNotNull())
 
     return let(values, runs)

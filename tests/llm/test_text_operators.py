@@ -151,6 +151,24 @@ def test_signature_of_repetitive_lines(spark):
         assert r.s == sorted(set(r.h))[: lines.SIGNATURE]
 
 
+def test_no_band_of_a_single_shingle(spark):
+    """Lines of different words that share the hash at a signature's end share no band; a line of few shingles is one run."""
+    shared = list(range(1, 200, 4))[-1]
+    values = [([*range(-1000 * k, -1000 * k + 4 * (lines.SIGNATURE - 1), 4), shared],) for k in range(1, 5)] + [([7, 8],), ([8],)]
+    found = [r.b for r in spark.createDataFrame(values, "s array<bigint>").select(lines.bands(F.col("s")).alias("b")).collect()]
+    assert all(found) and len({b for x in found for b in x}) == sum(len(set(x)) for x in found)
+
+
+def test_hub_pairs_grow_with_the_lines(spark):
+    """Unlike lines meet in hardly any band, however many there are."""
+    found = []
+    for n in (300, 1200):
+        docs = spark.createDataFrame([(i, prose(i, 30, vocabulary=2000).replace("\n", " ")) for i in range(n)], "doc_id int, text string")
+        banded = docs.select("doc_id", F.explode(lines.bands(lines.signature(lines.shingles(F.col("text"))))).alias("band")).distinct()
+        found.append(banded.groupBy("band").count().agg(F.sum("count") - F.count(F.lit(1))).head()[0])
+    assert found[1] <= 0.02 * 1200
+
+
 def test_kept_lines(spark):
     docs = spark.createDataFrame(
         [(1, "first line here\n\nsecond", "u", 9), (2, "second\nown text", "v", 9), (3, "second", "w", 9), (4, None, "x", None), (5, "", "y", 0)],
