@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourweave.session import written
+from hourweave.llm.scratch import written
 
 #: Steps after which a graph of any practical size has settled; more is an error, not a cut.
 MAX_ROUNDS = 60

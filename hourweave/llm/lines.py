@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from hourweave.llm.components import connected
 from hourweave.llm.expressions import held, let
-from hourweave.session import written
+from hourweave.llm.scratch import settled, written
 
 SHINGLE = 8
 #: Values of a signature, values of a run, and starts that need no divisibility.
@@ -160,15 +160,20 @@ def _linked(near: DataFrame, texts: DataFrame, found: DataFrame, pivots: int = P
         left, pivots, number = left.where(~pivot), 8 * pivots, number + 1
 
 
-def line_components(docs: DataFrame) -> DataFrame:
-    """(id, component) of the lines that are similar to a different line; ids are hashes of the line."""
-    lines = _lines(docs).select(F.xxhash64("line").alias("id"), "line")
+def _near(lines: DataFrame) -> DataFrame:
+    """(band, hub, id) of the bands of several lines (id, line); the hub, a band's smallest line, is left out."""
     banded = written(lines.select("id", F.explode(bands(signature(shingles(F.col("line"))))).alias("band")), "bands")
     shared = written(
         banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last").select("band", "hub"), "shared"
     )
     near = _maybe_in(banded, "band", _filter(shared, "band")).join(shared, "band")
-    near = written(near.where("id != hub").select("band", "hub", "id").distinct(), "near")
+    return near.where("id != hub").select("band", "hub", "id").distinct()
+
+
+def line_components(docs: DataFrame) -> DataFrame:
+    """(id, component) of the lines that are similar to a different line; ids are hashes of the line."""
+    lines = _lines(docs).select(F.xxhash64("line").alias("id"), "line")
+    near = settled("near", lambda: _near(lines))
     pairs = written(near.select("hub", "id").distinct(), "pairs")
     named = pairs.select("id").union(pairs.select("hub")).distinct()
     texts = _maybe_in(lines, "id", _filter(named, "id")).join(named, "id", "left_semi").dropDuplicates(["id"])
@@ -186,7 +191,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     that agree in both are one document and get the same result. Other columns are ignored.
     """
     placed = _lines(docs).select("key", "doc_id", "line_no", F.xxhash64("line").alias("id"))
-    grouped = written(line_components(docs), "components")
+    grouped = settled("components", lambda: line_components(docs))
     placed = placed.join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key", "line_no")
     # components with a single place have nothing to drop

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from hourweave.llm.components import connected
 from hourweave.llm.overlaps import linked
+from hourweave.llm.scratch import settled, written
 from hourweave.llm.substrings import RollingHasher, _held, _planes, _unplaned
-from hourweave.session import written
 
 SHINGLE = 5
 #: Similar means 4 * shared >= 3 * all shingles of two documents, a Jaccard similarity of 0.75.
@@ -306,25 +306,8 @@ def _compared(members: DataFrame, texts: DataFrame, n: int, similarity: tuple[in
     )
 
 
-def similarity_classes(
-    docs: DataFrame,
-    n: int = SHINGLE,
-    similarity: tuple[int, int] = SIMILARITY,
-    block_shingles: int = BLOCK_SHINGLES,
-    buckets: int | None = None,
-) -> DataFrame:
-    """(key, doc_id, n_shingles, component, component_id) for every row of ``docs``.
-
-    ``component_id`` is the smallest doc_id that similar pairs lead to, a document itself
-    included. Equal texts, and equal rows, are similar. Null texts and texts without words
-    have no shingles, are similar to nothing and keep their own id. ``key`` is a hash of id and text, by
-    which rows with the same id are told apart. Other columns are ignored.
-    Shingles and sets are compared as 64-bit hashes.
-    """
-    spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = spark.sparkContext.broadcast(slot_counts(docs, n))
-    members = written(classes(docs, n), "classes")
+def _components(docs: DataFrame, members: DataFrame, counts, n: int, similarity, block_shingles: int, buckets: int) -> DataFrame:
+    """(node, component) of the classes that are similar to another one."""
     packed = docs.select(F.lit(0).alias("key"), "text").mapInArrow(_first_shingles(counts, n, buckets, similarity), _PACKED)
     hubs = (
         packed.repartitionById(buckets, "bucket")
@@ -357,6 +340,29 @@ def similarity_classes(
     if apart is not None:
         more = _compared(apart, texts, n, similarity)
         found = written(connected(links.union(written(more, "links")), "a", "b"), "components")
+    return found
+
+
+def similarity_classes(
+    docs: DataFrame,
+    n: int = SHINGLE,
+    similarity: tuple[int, int] = SIMILARITY,
+    block_shingles: int = BLOCK_SHINGLES,
+    buckets: int | None = None,
+) -> DataFrame:
+    """(key, doc_id, n_shingles, component, component_id) for every row of ``docs``.
+
+    ``component_id`` is the smallest doc_id that similar pairs lead to, a document itself
+    included. Equal texts, and equal rows, are similar. Null texts and texts without words
+    have no shingles, are similar to nothing and keep their own id. ``key`` is a hash of id and text, by
+    which rows with the same id are told apart. Other columns are ignored.
+    Shingles and sets are compared as 64-bit hashes.
+    """
+    spark = docs.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = spark.sparkContext.broadcast(slot_counts(docs, n))
+    members = written(classes(docs, n), "classes")
+    found = settled("components", lambda: _components(docs, members, counts, n, similarity, block_shingles, buckets))
     named = members.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn(
         "component", F.coalesce("component", "class")
     )

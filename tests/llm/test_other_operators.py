@@ -178,3 +178,28 @@ def test_small_seeds_keep_their_rank(spark):
     links = spark.createDataFrame([("s0", "t", 1)], "src string, dst string, n int")
     found = {x.host: x.trust for x in hosts.propagate(links, seeds).where("host in ('s0', 't')").collect()}
     assert 0 < found["t"] < found["s0"] < 1e-14
+
+
+def test_settled_keeps_its_result_alone(spark):
+    import os
+
+    from hourweave.llm import scratch
+
+    here = []
+
+    def build():
+        inner = scratch.settled("inner", lambda: scratch.written(spark.range(6), "first").where("id > 1"))
+        here.extend(inner.inputFiles())
+        return scratch.written(inner, "second").where("id > 2")
+
+    out = scratch.settled("outer", build)
+    assert sorted(r.id for r in out.collect()) == [3, 4, 5]
+    assert here and not any(os.path.exists(f.removeprefix("file://")) for f in here)
+
+    def fails():
+        here.extend(scratch.written(spark.range(3), "lost").inputFiles())
+        raise ValueError("stop")
+
+    with pytest.raises(ValueError, match="stop"):
+        scratch.settled("failed", fails)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in here)
