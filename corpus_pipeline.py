@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourweave.llm import lines, mixing, pieces, quality, queries, similar
-from hourweave.session import written
+from hourweave.llm.scratch import settled, written  # noqa: F401
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn, each result written and read back as the next one's input."""
+    """Every stage in turn, each result written and read back as the next one's input; a stage's other tables go with it."""
     queries.reachable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = settled(name.replace(" ", "_"), lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return docs
