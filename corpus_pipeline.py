@@ -22,12 +22,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of similar lines the first stays; documents left without words go."""
+    """Of similar lines the first stays, by document id (null last) and line number; documents left without words go.
+
+    Null texts and texts without words had none to lose and stay. Rows that agree in id and text are one document.
+    """
     return lines.keep_first_lines(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones."""
+    """One document of each group of similar ones, that of the smallest id (null last).
+
+    Null texts and texts without words are similar to nothing and all stay; of rows that agree in id and text one stays.
+    """
     return similar.one_of_each(docs)
 
 
