@@ -1,6 +1,9 @@
-"""Fuzzy line dedup by MinHash, in DataFrame operations only.
+"""Fuzzy line dedup by MinHash: joins, stars and union-find as DataFrame operations, shingles hashed on Arrow batches.
 
-1. A line is the set of its character shingles, windows of eight bytes of its UTF-8 text, hashed. The
+Hashing every window of every line by built-in functions alone takes most of the time that the whole job
+may take (figures in the README), so signatures and exact similarities are worked out by numpy inside the tasks.
+
+1. A line is the set of its character shingles, windows of eight characters, hashed. The
    smallest hashes in order are its MinHash signature.
 2. Banding: each run of four consecutive signature values is a band, where a run starts at one of the first
    values or at a value divisible by four (in lines of few shingles: by two). Runs are compared by content, not by number,
@@ -19,6 +22,10 @@ makes up a third of the corpus costs a row per task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +33,7 @@ from hourweave.llm.components import connected
 from hourweave.llm.expressions import held, let
 from hourweave.llm.scratch import settled, written
 
+#: Characters of a shingle; ``hashed`` doubles its windows three times.
 SHINGLE = 8
 #: Values of a signature, values of a run, and starts that need no divisibility.
 SIGNATURE, RUN, FIRST = 44, 4, 4
@@ -35,44 +43,128 @@ SIMILARITY = (3, 4)
 PIVOTS = 8
 #: Words of 64 bits in the filters that keep needless rows out of exchanges; their size is fixed (2 MB).
 _FILTER_WORDS = 1 << 18
+#: Characters that are hashed together; a longer line is hashed in parts.
+_CHUNK = 1 << 17
+#: Odd multipliers, and the bits of a hash beside a line's number.
+_ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F], np.uint64)
+_BITS = np.uint64(48)
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
-def shingles(line: Column) -> Column:
-    """Hashes of all windows of a line's bytes, in order and with repeats; a shorter line is one window."""
-    starts = lambda b: F.sequence(F.lit(1), F.greatest(F.octet_length(b) - (SHINGLE - 1), F.lit(1)))
-    return let(
-        F.encode(line, "UTF-8"),
-        lambda b: F.transform(starts(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(SHINGLE)))),
-    )
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _ODD[0]
+    return h ^ (h >> np.uint64(29))
 
 
-def signature(hashes: Column) -> Column:
-    """The smallest distinct hashes in order.
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """In order; sorting is many times as fast here as numpy's ``unique``, which hashes."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
-    Of long lines only hashes below a bound that about three signatures pass are made distinct and sorted; where
-    repeats leave too few of them, all are.
-    """
 
-    def low(h: Column) -> Column:
-        bound = F.lit(3.0 * SIGNATURE * 2**64) / F.size(h) - F.lit(2.0**63)
-        return let(bound.cast("bigint"), lambda b: F.array_distinct(F.filter(h, lambda x: x < b)))
+def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of SHINGLE characters, in order and with repeats, line after line, and each line's number of them.
+
+    A shorter line is one window, filled up with NUL.
+    """
+    lines = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
+    sizes = np.array([len(x) for x in lines], np.int64)
+    h = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
+    # windows of two, four and eight characters, each from those of half its length
+    for width, odd in zip((1, 2, 4), _ODD):
+        h = h[:-width] * odd + h[width:]
+    whole = np.ones(int(sizes.sum()), bool)
+    whole[(np.cumsum(sizes)[:, None] - np.arange(1, SHINGLE)).ravel()] = False
+    return _mixed(h[whole[: len(h)]]), sizes - (SHINGLE - 1)
 
-    def smallest(h: Column) -> Column:
-        few = F.when(F.size(h) > 6 * SIGNATURE, low(h))
-        return let(few, lambda s: F.when(F.size(s) >= SIGNATURE, s).otherwise(F.array_distinct(h)))
 
-    return F.slice(F.sort_array(let(hashes, smallest)), 1, SIGNATURE)
+def shingle_set(line: str) -> np.ndarray:
+    """The distinct hashes in order."""
+    parts = [line[i : i + _CHUNK + SHINGLE - 1] for i in range(0, max(1, len(line) - SHINGLE + 1), _CHUNK)]
+    sets = [_distinct(hashed([p])[0]) for p in parts]
+    return sets[0] if len(sets) == 1 else _distinct(np.concatenate(sets))
 
 
-def bands(values: Column) -> Column:
-    def runs(s: Column) -> Column:
-        run = lambda i: F.xxhash64(*[F.get(s, i + j) for j in range(RUN)])
-        bits = F.when(F.size(s) < SIGNATURE, F.lit(1)).otherwise(F.lit(3)).cast("bigint")
-        starts = lambda x, i: (i == 0) | (((i < FIRST) | (x.bitwiseAND(bits) == 0)) & (i <= F.size(s) - RUN))
-        return F.filter(F.transform(s, lambda x, i: F.when(starts(x, i), run(i))), lambda v: v.isNotNull())
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest distinct hashes of each of up to 2^16 lines, cut to 48 bits, in order (a row each, filled with 0), and how many.
 
-    return let(values, runs)
+    Of long lines only hashes below a bound that about three signatures pass are sorted; where repeats leave too few of them, all are.
+    """
+    h, n = hashed(lines)
+    key = (np.repeat(np.arange(len(lines), dtype=np.uint64), n) << _BITS) | (h >> np.uint64(16))
+    bound = np.where(n > 6 * SIGNATURE, 3.0 * SIGNATURE / n, 1.0) * 2.0**48
+    kept = _distinct(key[(h >> np.uint64(16)) < np.repeat(bound.astype(np.uint64), n)])
+    found = np.bincount((kept >> _BITS).astype(np.int64), minlength=len(lines))
+    few = (n > 6 * SIGNATURE) & (found < SIGNATURE)
+    if few.any():
+        kept = _distinct(np.concatenate([kept, key[np.repeat(few, n)]]))
+        found = np.bincount((kept >> _BITS).astype(np.int64), minlength=len(lines))
+    place = np.arange(len(kept)) - np.repeat(np.cumsum(found) - found, found)
+    kept, place = kept[place < SIGNATURE], place[place < SIGNATURE]
+    out = np.zeros((len(lines), SIGNATURE), np.uint64)
+    out[(kept >> _BITS).astype(np.int64), place] = kept & np.uint64((1 << 48) - 1)
+    return out, np.minimum(found, SIGNATURE)
+
+
+def _long_signature(line: str) -> tuple[np.ndarray, np.ndarray]:
+    """The signature of one line, worked out in parts."""
+    smallest = np.zeros(0, np.uint64)
+    for i in range(0, len(line) - SHINGLE + 1, _CHUNK):
+        values, n = signatures([line[i : i + _CHUNK + SHINGLE - 1]])
+        smallest = _distinct(np.concatenate([smallest, values[0, : n[0]]]))[:SIGNATURE]
+    out = np.zeros((1, SIGNATURE), np.uint64)
+    out[0, : len(smallest)] = smallest
+    return out, np.array([len(smallest)])
+
+
+def runs(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bands of all signatures, one after the other, and each one's number of them."""
+    wide = np.concatenate([values, np.zeros((len(values), RUN - 1), np.uint64)], 1)
+    run = wide[:, :SIGNATURE]
+    for j in range(1, RUN):
+        run = _mixed(run * _ODD[1] + wide[:, j : j + SIGNATURE])
+    place = np.arange(SIGNATURE)
+    bits = np.where(sizes < SIGNATURE, 1, 3).astype(np.uint64)[:, None]
+    starts = (place == 0) | (((place < FIRST) | (values & bits == 0)) & (place <= sizes[:, None] - RUN))
+    return run[starts].view(np.int64), starts.sum(1)
+
+
+def _chunks(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """(first, end) of stretches of lines that are hashed together; a line of more than _CHUNK characters is alone."""
+    first = size = 0
+    for i, line in enumerate(lines):
+        if i > first and (size + len(line) > _CHUNK or i - first == 1 << 16):
+            yield first, i
+            first, size = i, 0
+        size += len(line)
+    if lines:
+        yield first, len(lines)
+
+
+def banded(lines: DataFrame) -> DataFrame:
+    """(id, bands) of rows (id, line)."""
+
+    def of(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            texts = batch.column(1).to_pylist()
+            for a, b in _chunks(texts):
+                part = texts[a:b]
+                found, n = runs(*(_long_signature(part[0]) if len(part[0]) > _CHUNK else signatures(part)))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(found))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["id", "bands"])
+
+    return lines.select("id", "line").mapInArrow(of, "id bigint, bands array<bigint>")
+
+
+def _measured(lines: DataFrame) -> DataFrame:
+    """(id, line, n) with the size of the line's shingle set."""
+
+    def of(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            n = [len(shingle_set(x)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["id", "line", "n"])
+
+    return lines.select("id", "line").mapInArrow(of, "id bigint, line string, n bigint")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -112,10 +204,27 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         texts.withColumnRenamed("line", "b"), "id"
     )
     # sets of too different sizes cannot be similar, so their lines need no comparison
-    a, b = SIMILARITY
-    sizes = (b * F.least("m", "n") >= a * F.greatest("m", "n"))
-    shared = F.size(F.array_intersect(shingles(F.col("a")), shingles(F.col("b"))))
-    return both.where(sizes).where((a + b) * shared >= a * (F.col("m") + F.col("n"))).select("hub", "id")
+    least, of = SIMILARITY
+    both = both.where(of * F.least("m", "n") >= least * F.greatest("m", "n"))
+
+    def verified(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            hubs, ids, a, b = (c.to_pylist() for c in batch.columns)
+            sets: dict[int, np.ndarray] = {}
+            held, similar = 0, []
+            for hub, i, x, y in zip(hubs, ids, a, b):
+                if held > _CHUNK:
+                    sets, held = {}, 0
+                for name, line in ((hub, x), (i, y)):
+                    if name not in sets:
+                        sets[name] = shingle_set(line)
+                        held += len(sets[name])
+                one, other = sets[hub], sets[i]
+                shared = len(one) + len(other) - len(_distinct(np.concatenate([one, other])))
+                similar.append((least + of) * shared >= least * (len(one) + len(other)))
+            yield batch.select(["hub", "id"]).filter(pa.array(similar, pa.bool_()))
+
+    return both.select("hub", "id", "a", "b").mapInArrow(verified, "hub bigint, id bigint")
 
 
 def _apart(left: DataFrame, found: DataFrame) -> DataFrame:
@@ -162,11 +271,11 @@ def _linked(near: DataFrame, texts: DataFrame, found: DataFrame, pivots: int = P
 
 def _near(lines: DataFrame) -> DataFrame:
     """(band, hub, id) of the bands of several lines (id, line); the hub, a band's smallest line, is left out."""
-    banded = written(lines.select("id", F.explode(bands(signature(shingles(F.col("line"))))).alias("band")), "bands")
+    rows = written(banded(lines), "bands").select("id", F.explode("bands").alias("band"))
     shared = written(
-        banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last").select("band", "hub"), "shared"
+        rows.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last").select("band", "hub"), "shared"
     )
-    near = _maybe_in(banded, "band", _filter(shared, "band")).join(shared, "band")
+    near = _maybe_in(rows, "band", _filter(shared, "band")).join(shared, "band")
     return near.where("id != hub").select("band", "hub", "id").distinct()
 
 
@@ -177,7 +286,7 @@ def line_components(docs: DataFrame) -> DataFrame:
     pairs = written(near.select("hub", "id").distinct(), "pairs")
     named = pairs.select("id").union(pairs.select("hub")).distinct()
     texts = _maybe_in(lines, "id", _filter(named, "id")).join(named, "id", "left_semi").dropDuplicates(["id"])
-    texts = written(texts.select("id", "line", F.size(F.array_distinct(shingles(F.col("line")))).alias("n")), "lines")
+    texts = written(_measured(texts), "lines")
     found = written(connected(_similar(pairs, texts), "hub", "id").withColumnRenamed("node", "id"), "found")
     return _linked(near, texts, found)
 

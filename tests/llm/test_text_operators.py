@@ -85,8 +85,7 @@ def test_removed_intervals_are_maximal(spark):
 # --- 3 line dedup ------------------------------------------------------------
 
 def line_sets(line):
-    b = line.encode()
-    return {b[i : i + 8] for i in range(max(len(b) - 7, 1))}
+    return {line[i : i + 8] for i in range(max(len(line) - 7, 1))}
 
 
 def test_lines_equal_brute_force(spark):
@@ -130,7 +129,7 @@ def around_passages(groups_of):
 def test_lines_of_a_band_are_all_compared(spark):
     texts = around_passages(6)
     sets = [line_sets(t) for t in texts]
-    values = [sorted({xxhash.xxh64_intdigest(x, 42) - (1 << 64 if xxhash.xxh64_intdigest(x, 42) >> 63 else 0) for x in s})[: lines.SIGNATURE] for s in sets]
+    values = [v[:n].tolist() for v, n in zip(*lines.signatures(texts))]
     runs = [{tuple(v[i : i + lines.RUN]) for i in range(len(v)) if i < lines.FIRST or v[i] % 4 == 0} for v in values]
     near = [
         (a, b) for a in range(len(texts)) for b in range(a)
@@ -142,21 +141,23 @@ def test_lines_of_a_band_are_all_compared(spark):
     assert lost == {i for i in root if root[i] != i}
 
 
-def test_signature_of_repetitive_lines(spark):
+def test_signature_of_repetitive_lines(monkeypatch):
     """The smallest distinct hashes, however often they repeat."""
     cycled = [" ".join(prose(i, 20).split()[:20] * 40) for i in range(8)]
-    docs = spark.createDataFrame([(t,) for t in [*cycled, "ab" * 900, "short"]], "line string")
-    hashes = lines.shingles(F.col("line"))
-    for r in docs.select(hashes.alias("h"), lines.signature(hashes).alias("s")).collect():
-        assert r.s == sorted(set(r.h))[: lines.SIGNATURE]
+    texts = [*cycled, "ab" * 900, "short", "\u4e2d\u6587 \U0001f600" * 3]
+    monkeypatch.setattr(lines, "_CHUNK", 500)
+    for t, v, n in zip(texts, *lines.signatures(texts)):
+        assert v[:n].tolist() == sorted({h >> 16 for h in lines.hashed([t])[0].tolist()})[: lines.SIGNATURE]
+        if len(t) > lines.SHINGLE:
+            assert (lines._long_signature(t)[0] == v).all() and len(lines.shingle_set(t)) == len(line_sets(t))
 
 
 def test_no_band_of_a_single_shingle(spark):
     """Lines of different words that share the hash at a signature's end share no band; a line of few shingles is one run."""
-    shared = list(range(1, 200, 4))[-1]
-    values = [([*range(-1000 * k, -1000 * k + 4 * (lines.SIGNATURE - 1), 4), shared],) for k in range(1, 5)] + [([7, 8],), ([8],)]
-    found = [r.b for r in spark.createDataFrame(values, "s array<bigint>").select(lines.bands(F.col("s")).alias("b")).collect()]
-    assert all(found) and len({b for x in found for b in x}) == sum(len(set(x)) for x in found)
+    shared, count = 4000, lines.SIGNATURE
+    values = np.array([[*range(10**6 * k, 10**6 * k + 4 * (count - 1), 4), 10**9 + shared] for k in range(1, 5)] + [[7, 8] + [0] * (count - 2), [8] + [0] * (count - 1)], np.uint64)
+    found, n = lines.runs(values, np.array([count] * 4 + [2, 1]))
+    assert n.min() > 0 and len(set(found.tolist())) == len(found)
 
 
 def test_hub_pairs_grow_with_the_lines(spark):
@@ -164,7 +165,7 @@ def test_hub_pairs_grow_with_the_lines(spark):
     found = []
     for n in (300, 1200):
         docs = spark.createDataFrame([(i, prose(i, 30, vocabulary=2000).replace("\n", " ")) for i in range(n)], "doc_id int, text string")
-        banded = docs.select("doc_id", F.explode(lines.bands(lines.signature(lines.shingles(F.col("text"))))).alias("band")).distinct()
+        banded = lines.banded(docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").alias("line"))).select("id", F.explode("bands").alias("band")).distinct()
         found.append(banded.groupBy("band").count().agg(F.sum("count") - F.count(F.lit(1))).head()[0])
     assert found[1] <= 0.02 * 1200
 
