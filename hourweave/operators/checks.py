@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hourweave import model
 from hourweave.functions.columns import by_parameter, outside
 from hourweave.operators.ordered import exact_quantiles
+from hourweave.session import written
 
 SERIES = ("station_id", "parameter")
 
@@ -23,6 +24,33 @@ def _count() -> Column:
     return F.count(F.lit(1))
 
 
+def day_cube(readings: DataFrame) -> DataFrame:
+    """(station_id, parameter, day, n, n_valid, earliest, latest): what the checks of series, days and months are made of.
+
+    ``completeness``, ``low_coverage``, ``crowded_days``, ``monthly_counts`` and the checks built on them take it in place of
+    readings. It has a row per series and day, so a suite of checks need not read the readings once each.
+    """
+    return readings.groupBy(*SERIES, F.to_date("timestamp").alias("day")).agg(
+        *[c.alias(name) for name, c in _figures(readings).items()]
+    )
+
+
+def _figures(rows: DataFrame) -> dict[str, Column]:
+    """Aggregates over readings, or over the rows of their ``day_cube``."""
+    if "earliest" in rows.columns:
+        return {"n": F.sum("n"), "n_valid": F.sum("n_valid"), "earliest": F.min("earliest"), "latest": F.max("latest")}
+    return {
+        "n": _count(),
+        "n_valid": F.count_if(F.col("value").isNotNull() & (F.col("quality_flag") == 0)),
+        "earliest": F.min("timestamp"),
+        "latest": F.max("timestamp"),
+    }
+
+
+def _day(rows: DataFrame) -> Column:
+    return F.col("day") if "earliest" in rows.columns else F.to_date("timestamp")
+
+
 # --- keys ------------------------------------------------------------------
 
 def duplicate_keys(readings: DataFrame) -> DataFrame:
@@ -99,14 +127,13 @@ def too_few_stations(readings: DataFrame, minimum: int, parameter: str = "pm25")
 
 
 def completeness(readings: DataFrame) -> DataFrame:
-    valid = F.col("value").isNotNull() & (F.col("quality_flag") == 0)
-    n_valid = F.count_if(valid)
+    f = _figures(readings)
     return readings.groupBy(*SERIES).agg(
-        _count().alias("n_readings"),
-        F.min("timestamp").alias("earliest"),
-        F.max("timestamp").alias("latest"),
-        n_valid.alias("n_valid"),
-        F.round(100.0 * n_valid / _count(), 1).alias("pct_valid"),
+        f["n"].alias("n_readings"),
+        f["earliest"].alias("earliest"),
+        f["latest"].alias("latest"),
+        f["n_valid"].alias("n_valid"),
+        F.round(100.0 * f["n_valid"] / f["n"], 1).alias("pct_valid"),
     )
 
 
@@ -131,11 +158,12 @@ def low_coverage(
     readings: DataFrame, minimum: float = 0.80, min_hours: int = 24, exclude: tuple = ()
 ) -> DataFrame:
     """Series with too few readings for the hours between their first and last."""
-    hours = F.timestamp_diff("HOUR", F.min("timestamp"), F.max("timestamp")) + 1
+    f = _figures(readings)
+    hours = F.timestamp_diff("HOUR", f["earliest"], f["latest"]) + 1
     series = readings.where(~F.col("station_id").isin(*exclude)) if exclude else readings
     return (
         series.groupBy(*SERIES)
-        .agg(_count().alias("n_readings"), hours.alias("possible_hours"))
+        .agg(f["n"].alias("n_readings"), hours.alias("possible_hours"))
         .where(F.col("possible_hours") >= min_hours)
         .withColumn("coverage", F.col("n_readings") / F.col("possible_hours"))
         .where(F.col("coverage") < minimum)
@@ -144,15 +172,15 @@ def low_coverage(
 
 def crowded_days(readings: DataFrame, limit: int = 24) -> DataFrame:
     return (
-        readings.groupBy(*SERIES, F.to_date("timestamp").alias("day"))
-        .agg(_count().alias("n"))
+        readings.groupBy(*SERIES, _day(readings).alias("day"))
+        .agg(_figures(readings)["n"].alias("n"))
         .where(F.col("n") > limit)
     )
 
 
 def monthly_counts(readings: DataFrame) -> DataFrame:
-    return readings.groupBy(*SERIES, F.trunc("timestamp", "month").alias("month_start")).agg(
-        _count().alias("n_readings")
+    return readings.groupBy(*SERIES, F.trunc(_day(readings), "month").alias("month_start")).agg(
+        _figures(readings)["n"].alias("n_readings")
     )
 
 
@@ -281,7 +309,12 @@ def check_summary(
     min_stations: int,
     exclude: tuple = (),
 ) -> DataFrame:
-    """(check, n_violations) for the whole suite; an empty suite of zeros is a pass."""
+    """(check, n_violations) for the whole suite; an empty suite of zeros is a pass.
+
+    Readings are read four times, for single rows, keys, the percentile and a ``day_cube``; the cube is written, and all
+    checks of stations, series, days and months are rolled up from it.
+    """
+    days = written(day_cube(readings), "day_cube")
 
     def counted(name: str, violations: DataFrame) -> DataFrame:
         return violations.agg(_count().alias("n_violations")).select(F.lit(name).alias("check"), "n_violations")
@@ -314,13 +347,13 @@ def check_summary(
     parts = [
         one_pass(),
         counted("duplicate_key", duplicate_keys(readings)),
-        counted("station_missing", stations_without_readings(readings, stations)),
-        counted("too_few_stations", too_few_stations(readings, min_stations)),
-        counted("incomplete", incomplete_stations(readings)),
-        counted("low_coverage", low_coverage(readings, exclude=exclude)),
-        counted("crowded_day", crowded_days(readings)),
-        counted("low_month", low_months(readings, exclude=exclude)),
-        counted("silent_month", silent_months(readings)),
+        counted("station_missing", stations_without_readings(days, stations)),
+        counted("too_few_stations", too_few_stations(days, min_stations)),
+        counted("incomplete", incomplete_stations(days)),
+        counted("low_coverage", low_coverage(days, exclude=exclude)),
+        counted("crowded_day", crowded_days(days)),
+        counted("low_month", low_months(days, exclude=exclude)),
+        counted("silent_month", silent_months(days)),
         counted("high_percentile", high_percentile(readings).where(~F.col("below_limit"))),
     ]
     out = parts[0]

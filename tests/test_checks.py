@@ -75,3 +75,23 @@ def test_percentile_and_summary(spark):
     got = {x.check: x.n_violations for x in checks.check_summary(r, stations, date(2024, 1, 1), date(2024, 2, 20), 10, 1).collect()}
     assert got.pop("high_percentile") == 1
     assert set(got.values()) == {0} and len(got) == 21
+
+
+def test_checks_of_the_day_cube_equal_those_of_readings(spark):
+    """Uneven series, null values, flags and a null timestamp: the cube stands in for the readings."""
+    sql = """SELECT concat('s', id % 7) AS station_id, if(id % 3 = 0, 'pm25', 'o3') AS parameter,
+                    if(id = 50, NULL, timestamp '2024-01-01' + make_dt_interval(0, (id * id) % 3000 - if(id % 7 = 2, 1500, 0))) AS timestamp,
+                    if(id % 11 = 0, NULL, double(id)) AS value, 'ppm' AS unit, int(id % 13 = 0) AS quality_flag FROM range(600)"""
+    readings = spark.sql(sql)
+    cube = checks.day_cube(readings)
+    assert cube.count() < readings.count()
+    stations = spark.createDataFrame([("s1",), ("none",)], "station_id string")
+    for check in (
+        checks.completeness, checks.incomplete_stations, checks.low_coverage, lambda r: checks.crowded_days(r, 1), checks.monthly_counts,
+        lambda r: checks.low_months(r, 0.9, ("s3",)), checks.silent_months, checks.stations_per_parameter,
+        lambda r: checks.too_few_stations(r, 100), lambda r: checks.stations_without_readings(r, stations),
+    ):
+        want = check(readings)
+        assert want.schema.names == check(cube).schema.names
+        assert sorted(map(str, want.collect())) == sorted(map(str, check(cube).collect()))
+    assert checks.crowded_days(cube, 1).count() and checks.low_coverage(cube).count() and checks.low_months(cube, 0.9).count()
