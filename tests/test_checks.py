@@ -1,9 +1,10 @@
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from hourweave.operators import checks
+from hourweave.registry import QUERIES
 from tests.helpers import readings_frame
 from tests.test_neighbors import station_frame
 
@@ -95,3 +96,11 @@ def test_checks_of_the_day_cube_equal_those_of_readings(spark):
         assert want.schema.names == check(cube).schema.names
         assert sorted(map(str, want.collect())) == sorted(map(str, check(cube).collect()))
     assert checks.crowded_days(cube, 1).count() and checks.low_coverage(cube).count() and checks.low_months(cube, 0.9).count()
+
+
+@pytest.mark.parametrize("users, missing", [(19, set()), (17, {"06-111-0009", "06-111-2002"})])
+def test_the_missing_stations_query_reads_all_readings(spark, tmp_path, users, missing):
+    rows = [(u, u, datetime(2024, 1, 2), "click", 5.0, '{"k": 50}') for u in range(users)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz, event_type string, value double, props string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.station_id for r in QUERIES["qc_stations_missing"](spark, str(tmp_path)).collect()} == missing
