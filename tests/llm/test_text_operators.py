@@ -456,3 +456,21 @@ def test_all_pairs_are_counted_and_met(spark, ranks, monkeypatch):
     by_key = odd(spark).select(F.xxhash64("doc_id", "text").alias("key"), "text").distinct()
     for r in found.join(by_key, "key").collect():
         assert r.score == pytest.approx(alone[r.text], rel=1e-5)
+
+
+def test_the_network_learns_from_every_window(spark, ranks, monkeypatch):
+    """A text of many windows among many texts: all windows of learned texts reach the training, no others."""
+    texts = [(i, prose(i, 700 if i == 3 else 4)) for i in range(1600)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    cut = attention.coded(docs, ranks, queries.PATTERN, F.col("doc_id") % 2 == 1, chunk_ids=3000)
+    coder = attention.subwords(ranks, queries.PATTERN)
+    want = sum(-(-len(coder.ids(t)) // attention.CONTEXT) for i, t in texts if i % 2)
+    seen = spark.sparkContext.accumulator(0)
+
+    def train(self, x, classes, own, pair, weight, passes=1, **_):
+        seen.add(len(x))
+
+    monkeypatch.setattr(attention, "STEPS", 1)
+    monkeypatch.setattr(attention, "Network", type("Counting", (attention.Network,), {"train": train}))
+    attention.fit_coded(cut, ranks, queries.PATTERN)
+    assert seen.value == want
