@@ -3,8 +3,9 @@ listen to it, and each station-hour averages what arrives."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hourweave.functions.columns import weighted_mean
 from hourweave.operators.blocks import in_time, own_rows, with_halo
@@ -17,6 +18,8 @@ _LAGGED = {
     "spatial_no2_lag1": ("no2", 1),
     "spatial_o3_lag1": ("o3", 1),
 }
+#: Types that Spark's hash aggregation can hold.
+_FIXED_WIDTH = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.BooleanType, T.TimestampType, T.DateType)
 
 
 def with_elevation_gap(edges: DataFrame, stations: DataFrame) -> DataFrame:
@@ -64,13 +67,20 @@ def _sends(features: DataFrame, heard: DataFrame) -> DataFrame:
     return routed.withColumn("station_id", F.coalesce("to", "station_id")).drop("to")
 
 
-def neighbor_means(features: DataFrame, edges: DataFrame, settings: list | None = None) -> DataFrame:
-    """Own rows plus the lagged neighbour means.
+def _own_columns(features: DataFrame, keep: list[str]) -> dict[str, Column]:
+    """What an own copy carries, by name: ``keep`` and a mark under the empty name, or all in a struct that is the mark."""
+    if keep and all(isinstance(features.schema[c].dataType, _FIXED_WIDTH) for c in keep):
+        return {"": F.lit(True)} | {c: F.col(c) for c in keep}
+    return {"": F.struct(*keep)}
+
+
+def neighbor_arrays(features: DataFrame, edges: DataFrame, settings: list | None = None) -> DataFrame:
+    """Own rows plus the lagged neighbour means, each an array with one place per setting (null where nothing is known).
 
     One pass: a row becomes its own copy and one contribution per listening
-    station. The own copy travels as a struct that is null in contributions, so
-    those stay narrow. Lags are taken on the receiving station's grid. With
-    ``settings`` the edges carry (lam, cutoff) and so does the result: a row is still sent once per edge that any
+    station. The columns of the own copy are null in contributions. Where all of them are of a fixed width
+    they stay columns, so that hours meet by hashing; a struct of others would have Spark sort all contributions. Lags are taken on the receiving station's grid. One row per station and hour is expected. With
+    ``settings`` the edges carry (lam, cutoff): a row is still sent once per edge that any
     setting has, with all weights of the edge, and the settings part after the sums.
     """
     keep = [c for c in features.columns if c not in ("station_id", "timestamp")]
@@ -79,11 +89,12 @@ def neighbor_means(features: DataFrame, edges: DataFrame, settings: list | None
     routed = _sends(rows, _weights(edges, settings))
     # a contribution without any value changes no mean
     routed = routed.where(F.col("is_own") | F.coalesce(*_SOURCES).isNotNull())
+    own = _own_columns(features, keep)
     packed = routed.select(
         "station_id",
         "block",
         "timestamp",
-        F.when(F.col("is_own"), F.struct(*keep)).alias("own"),
+        *[F.when(F.col("is_own"), c).alias(f"_own_{n}") for n, c in own.items()],
         *weights,
         *[F.when(~F.col("is_own"), F.col(s)).alias(f"_{s}") for s in _SOURCES],
     )
@@ -91,12 +102,12 @@ def neighbor_means(features: DataFrame, edges: DataFrame, settings: list | None
         packed.repartition("station_id", "block")
         .groupBy("station_id", "block", "timestamp")
         .agg(
-            F.first("own", ignorenulls=True).alias("own"),
+            *[F.first(f"_own_{n}", ignorenulls=True).alias(f"_own_{n}") for n in own],
             *[weighted_mean(F.col(f"_{s}"), F.col(w)).alias(f"_{s}_{w}") for s in _SOURCES for w in weights],
         )
-        .where(F.col("own").isNotNull())
+        .where(F.col("_own_").isNotNull())
         .select(
-            "station_id", "block", "timestamp", "own",
+            "station_id", "block", "timestamp", *[f"_own_{n}" for n in own],
             *[F.array(*[f"_{s}_{w}" for w in weights]).alias(f"_{s}") for s in _SOURCES],
         )
     )
@@ -106,8 +117,15 @@ def neighbor_means(features: DataFrame, edges: DataFrame, settings: list | None
         for name, (source, k) in _LAGGED.items()
     }
     out = own_rows(merged.withColumns(lagged))
+    back = [F.col("_own_.*")] if len(own) == 1 else [F.col(f"_own_{n}").alias(n) for n in keep]
+    return out.select("station_id", "timestamp", *back, *_LAGGED)
+
+
+def neighbor_means(features: DataFrame, edges: DataFrame, settings: list | None = None) -> DataFrame:
+    """Own rows plus the lagged neighbour means; with ``settings`` once for each (lam, cutoff), see ``neighbor_arrays``."""
+    means = neighbor_arrays(features, edges, settings)
     if not settings:
-        return out.select("station_id", "timestamp", "own.*", *[F.get(c, F.lit(0)).alias(c) for c in _LAGGED])
+        return means.select(*[F.get(c, F.lit(0)).alias(c) if c in _LAGGED else c for c in means.columns])
     each = [
         F.struct(
             F.lit(float(lam)).alias("lam"), F.lit(float(cutoff)).alias("cutoff"),
@@ -115,8 +133,8 @@ def neighbor_means(features: DataFrame, edges: DataFrame, settings: list | None
         )
         for i, (lam, cutoff) in enumerate(settings)
     ]
-    parted = out.select("station_id", "timestamp", "own", F.explode(F.array(*each)).alias("_s"))
-    return parted.select("_s.lam", "_s.cutoff", "station_id", "timestamp", "own.*", *[f"_s.{c}" for c in _LAGGED])
+    own = [c for c in means.columns if c not in _LAGGED]
+    return means.select(*own, F.explode(F.array(*each)).alias("_s")).select("_s.lam", "_s.cutoff", *own, *[f"_s.{c}" for c in _LAGGED])
 
 
 def elevation_difference(edges: DataFrame, active: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from hourweave.operators.spatial import add_spatial, neighbor_means
 from hourweave.operators.rolling import add_rolling_lags
 from hourweave.operators.grid import hourly_grid
 from hourweave.sources import tables
-from tests.helpers import readings_frame, series
+from tests.helpers import at, readings_frame, series
 
 
 def station_frame(spark, rows):
@@ -107,3 +107,16 @@ def test_several_settings_in_one_pass(spark, base, small_blocks):
     b = [r.asDict() for r in alone.orderBy("station_id", "timestamp").collect()]
     for x, y in zip(a, b, strict=True):
         assert x == {k: pytest.approx(v) if isinstance(v, float) else v for k, v in y.items()}
+
+
+def test_neighbor_hours_meet_without_sorting_contributions(spark):
+    """Columns of fixed width are aggregated by hashing; strings still come back."""
+    rows = [(s, at(h), float(h), None, None, 1.0 * h, "train") for s in ("a", "b") for h in range(5)]
+    features = spark.createDataFrame(rows, "station_id string, timestamp timestamp, pm25 double, no2 double, o3 double, pm25_roll6 double, split string")
+    edges = spark.createDataFrame([("a", "b", 1.0)], "station_id string, neighbor_id string, weight double")
+    narrow = neighbor_means(features.drop("split"), edges)
+    assert "SortAggregate" not in narrow._jdf.queryExecution().executedPlan().toString()
+    whole = neighbor_means(features, edges)
+    assert {r.split for r in whole.collect()} == {"train"}
+    assert sorted(map(repr, whole.drop("split").collect())) == sorted(map(repr, narrow.select(*whole.drop("split").columns).collect()))
+    assert sorted(r.spatial_pm25_lag1 for r in narrow.collect() if r.station_id == "a" and r.spatial_pm25_lag1 is not None) == [0.0, 1.0, 2.0, 3.0]
