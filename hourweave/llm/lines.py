@@ -1,19 +1,18 @@
-"""Fuzzy line dedup by MinHash: joins, stars and union-find as DataFrame operations, shingles hashed on Arrow batches.
+"""Fuzzy line dedup by MinHash, all of it DataFrame operations and built-in functions.
 
-Hashing every window of every line by built-in functions alone takes most of the time that the whole job
-may take (figures in the README), so signatures and exact similarities are worked out by numpy inside the tasks.
-
-1. A line is the set of its character shingles, windows of eight characters, hashed. The
-   smallest hashes in order are its MinHash signature.
-2. Banding: each run of four consecutive signature values is a band, where a run starts at one of the first
+1. A line is the set of its character shingles, windows of eight characters, hashed.
+2. For banding a line of few words is its shingles, one of many words its pairs of neighbouring words, a sample of places
+   that depends on content alone; lines of a middle number of words are both, so two similar lines have one form in common. The smallest
+   hashes in order are the MinHash signature.
+3. Banding: each run of four consecutive signature values is a band, where a run starts at one of the first
    values or at a value divisible by four (in lines of few shingles: by two). Runs are compared by content, not by number,
    so an inserted shingle breaks only the runs around it. A run is whole: one that the signature's end cuts off would be
-   the band of all lines with one common shingle. Lines of similarity 0.75 share a band with probability
-   of about 0.98, more similar ones nearly always.
-3. Lines of a band are joined to the band's smallest line, a star instead of all pairs, and each such pair is verified
-   by the exact Jaccard similarity of the whole sets.
-4. Distributed union-find forms components. Lines of a band that are in different components are then compared too, a few
-   against all others in a round, until each band's lines are in one component or all compared.
+   the band of all lines with one common shingle. Of lines of similarity 0.75 about 2 % share no band (pairs of words: up to 3.5 %,
+   when letters change), of more similar ones hardly any.
+4. A band's smallest line is its hub. A line is compared with one hub, the smallest of its bands', by the exact Jaccard
+   similarity of the whole shingle sets, and distributed union-find forms components. Lines outside the largest
+   component of a band then try a few lines of it. Only of bands that still hold several components all lines are compared that
+   were not yet, a few against all others in a round, until each band's lines are in one component or all compared.
 5. Of each component one line stays, the first by document id and line number.
 
 Equal lines share one id from the start. Bands are combined before every exchange, so a line that
@@ -22,149 +21,68 @@ makes up a third of the corpus costs a row per task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourweave.llm.components import connected
 from hourweave.llm.expressions import held, let
 from hourweave.llm.scratch import settled, written
+from hourweave.llm.sketches import _CHUNK, _long_signature, hashed, runs, shingle_set, signatures  # noqa: F401
 
-#: Characters of a shingle; ``hashed`` doubles its windows three times.
+#: Characters of a shingle.
 SHINGLE = 8
 #: Values of a signature, values of a run, and starts that need no divisibility.
 SIGNATURE, RUN, FIRST = 44, 4, 4
+#: Lines of fewer words than the second are banded by shingles, of as many as the first or more by pairs of words.
+WORDS = (32, 44)
 #: 4 * shared >= 3 * all shingles: a Jaccard similarity of 0.75.
 SIMILARITY = (3, 4)
-#: Lines of a band that are compared with its others in the first round after the hub's, about.
+#: Lines of its bands' largest components that a line outside tries before all are compared.
+TRIES = 4
+#: Lines of a band that are compared with its others in the first round after those, about.
 PIVOTS = 8
 #: Words of 64 bits in the filters that keep needless rows out of exchanges; their size is fixed (2 MB).
 _FILTER_WORDS = 1 << 18
-#: Characters that are hashed together; a longer line is hashed in parts.
-_CHUNK = 1 << 17
-#: Odd multipliers, and the bits of a hash beside a line's number.
-_ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F], np.uint64)
-_BITS = np.uint64(48)
 _HAS_WORD = r"[^\x20\x09-\x0D]"
+#: Once for every line with a word.
+_LINE_START = r"(?:\A|\n)[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D]"
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * _ODD[0]
-    return h ^ (h >> np.uint64(29))
-
-
-def _distinct(values: np.ndarray) -> np.ndarray:
-    """In order; sorting is many times as fast here as numpy's ``unique``, which hashes."""
-    values = np.sort(values)
-    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
-
-
-def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of SHINGLE characters, in order and with repeats, line after line, and each line's number of them.
-
-    A shorter line is one window, filled up with NUL.
-    """
-    lines = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
-    sizes = np.array([len(x) for x in lines], np.int64)
-    h = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
-    # windows of two, four and eight characters, each from those of half its length
-    for width, odd in zip((1, 2, 4), _ODD):
-        h = h[:-width] * odd + h[width:]
-    whole = np.ones(int(sizes.sum()), bool)
-    whole[(np.cumsum(sizes)[:, None] - np.arange(1, SHINGLE)).ravel()] = False
-    return _mixed(h[whole[: len(h)]]), sizes - (SHINGLE - 1)
-
+def shingles(line: Column) -> Column:
+    """Hashes of all windows of SHINGLE characters, with repeats; a shorter line is one window."""
+    last = 4 * F.greatest(F.length(line) - SHINGLE, F.lit(0)) + 1
+    # four bytes a character: a window is found without counting characters from the start
+    return let(
+        F.encode(line, "UTF-32"),
+        lambda code: F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda at: F.xxhash64(code.substr(at, F.lit(4 * SHINGLE)))),
+    )
 
-def shingle_set(line: str) -> np.ndarray:
-    """The distinct hashes in order."""
-    parts = [line[i : i + _CHUNK + SHINGLE - 1] for i in range(0, max(1, len(line) - SHINGLE + 1), _CHUNK)]
-    sets = [_distinct(hashed([p])[0]) for p in parts]
-    return sets[0] if len(sets) == 1 else _distinct(np.concatenate(sets))
 
+def _pairs_of_words(words: Column) -> Column:
+    return F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))
 
-def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest distinct hashes of each of up to 2^16 lines, cut to 48 bits, in order (a row each, filled with 0), and how many.
 
-    Of long lines only hashes below a bound that about three signatures pass are sorted; where repeats leave too few of them, all are.
-    """
-    h, n = hashed(lines)
-    key = (np.repeat(np.arange(len(lines), dtype=np.uint64), n) << _BITS) | (h >> np.uint64(16))
-    bound = np.where(n > 6 * SIGNATURE, 3.0 * SIGNATURE / n, 1.0) * 2.0**48
-    kept = _distinct(key[(h >> np.uint64(16)) < np.repeat(bound.astype(np.uint64), n)])
-    found = np.bincount((kept >> _BITS).astype(np.int64), minlength=len(lines))
-    few = (n > 6 * SIGNATURE) & (found < SIGNATURE)
-    if few.any():
-        kept = _distinct(np.concatenate([kept, key[np.repeat(few, n)]]))
-        found = np.bincount((kept >> _BITS).astype(np.int64), minlength=len(lines))
-    place = np.arange(len(kept)) - np.repeat(np.cumsum(found) - found, found)
-    kept, place = kept[place < SIGNATURE], place[place < SIGNATURE]
-    out = np.zeros((len(lines), SIGNATURE), np.uint64)
-    out[(kept >> _BITS).astype(np.int64), place] = kept & np.uint64((1 << 48) - 1)
-    return out, np.minimum(found, SIGNATURE)
-
-
-def _long_signature(line: str) -> tuple[np.ndarray, np.ndarray]:
-    """The signature of one line, worked out in parts."""
-    smallest = np.zeros(0, np.uint64)
-    for i in range(0, len(line) - SHINGLE + 1, _CHUNK):
-        values, n = signatures([line[i : i + _CHUNK + SHINGLE - 1]])
-        smallest = _distinct(np.concatenate([smallest, values[0, : n[0]]]))[:SIGNATURE]
-    out = np.zeros((1, SIGNATURE), np.uint64)
-    out[0, : len(smallest)] = smallest
-    return out, np.array([len(smallest)])
-
-
-def runs(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bands of all signatures, one after the other, and each one's number of them."""
-    wide = np.concatenate([values, np.zeros((len(values), RUN - 1), np.uint64)], 1)
-    run = wide[:, :SIGNATURE]
-    for j in range(1, RUN):
-        run = _mixed(run * _ODD[1] + wide[:, j : j + SIGNATURE])
-    place = np.arange(SIGNATURE)
-    bits = np.where(sizes < SIGNATURE, 1, 3).astype(np.uint64)[:, None]
-    starts = (place == 0) | (((place < FIRST) | (values & bits == 0)) & (place <= sizes[:, None] - RUN))
-    return run[starts].view(np.int64), starts.sum(1)
-
-
-def _chunks(lines: list[str]) -> Iterator[tuple[int, int]]:
-    """(first, end) of stretches of lines that are hashed together; a line of more than _CHUNK characters is alone."""
-    first = size = 0
-    for i, line in enumerate(lines):
-        if i > first and (size + len(line) > _CHUNK or i - first == 1 << 16):
-            yield first, i
-            first, size = i, 0
-        size += len(line)
-    if lines:
-        yield first, len(lines)
+def _band_rows(lines: DataFrame) -> DataFrame:
+    """(id, band) of rows (id, line); a band may come twice."""
+    few, many = WORDS
+    split = lines.select("id", "line", F.split("line", " ").alias("words"))
+    n = F.size("words")
+    by_shingles, by_words = shingles(F.col("line")), _pairs_of_words(F.col("words"))
+    # of pairs of words there are fewer, and a letter changes two of them: more runs make up for it
+    by_shingles, by_words = (F.struct(h.alias("hashes"), F.lit(m).alias("mask")) for h, m in ((by_shingles, 3), (by_words, 1)))
+    forms = F.when(n < few, F.array(by_shingles)).when(n >= many, F.array(by_words)).otherwise(F.array(by_shingles, by_words))
+    form = split.select("id", F.inline(forms))
+    values = form.select("id", "mask", F.slice(F.sort_array(F.array_distinct("hashes")), 1, SIGNATURE).alias("v"))
+    shifted = [F.slice("v", F.lit(i + 1), F.size("v")).alias(f"v{i}") for i in range(RUN)]
+    places = values.select("id", "mask", F.size("v").alias("n"), F.posexplode(F.arrays_zip(*shifted)).alias("place", "run"))
+    divisible = F.col("run.v0").bitwiseAND(F.when(F.col("n") < SIGNATURE, 1).otherwise(F.col("mask")).cast("bigint")) == 0
+    starts = (F.col("place") == 0) | (((F.col("place") < FIRST) | divisible) & (F.col("place") <= F.col("n") - RUN))
+    return places.where(starts).select("id", F.xxhash64("run").alias("band"))
 
 
 def banded(lines: DataFrame) -> DataFrame:
     """(id, bands) of rows (id, line)."""
-
-    def of(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            texts = batch.column(1).to_pylist()
-            for a, b in _chunks(texts):
-                part = texts[a:b]
-                found, n = runs(*(_long_signature(part[0]) if len(part[0]) > _CHUNK else signatures(part)))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(found))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["id", "bands"])
-
-    return lines.select("id", "line").mapInArrow(of, "id bigint, bands array<bigint>")
-
-
-def _measured(lines: DataFrame) -> DataFrame:
-    """(id, line, n) with the size of the line's shingle set."""
-
-    def of(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            n = [len(shingle_set(x)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["id", "line", "n"])
-
-    return lines.select("id", "line").mapInArrow(of, "id bigint, line string, n bigint")
+    return _band_rows(lines).groupBy("id").agg(F.collect_set("band").alias("bands"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -199,79 +117,80 @@ def _maybe_in(rows: DataFrame, column: str, bits: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (hub, id) whose whole shingle sets are similar, given (id, line, n)."""
-    both = pairs.join(texts.select(F.col("id").alias("hub"), F.col("line").alias("a"), F.col("n").alias("m")), "hub").join(
-        texts.withColumnRenamed("line", "b"), "id"
-    )
-    # sets of too different sizes cannot be similar, so their lines need no comparison
+    """The pairs (hub, id) whose whole shingle sets are similar, given (id, line)."""
+    both = pairs.join(texts.select(F.col("id").alias("hub"), F.col("line").alias("a")), "hub").join(texts.withColumnRenamed("line", "b"), "id")
+    sets = both.select("hub", "id", *[F.array_distinct(shingles(F.col(c))).alias(c) for c in ("a", "b")])
     least, of = SIMILARITY
-    both = both.where(of * F.least("m", "n") >= least * F.greatest("m", "n"))
-
-    def verified(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            hubs, ids, a, b = (c.to_pylist() for c in batch.columns)
-            sets: dict[int, np.ndarray] = {}
-            held, similar = 0, []
-            for hub, i, x, y in zip(hubs, ids, a, b):
-                if held > _CHUNK:
-                    sets, held = {}, 0
-                for name, line in ((hub, x), (i, y)):
-                    if name not in sets:
-                        sets[name] = shingle_set(line)
-                        held += len(sets[name])
-                one, other = sets[hub], sets[i]
-                shared = len(one) + len(other) - len(_distinct(np.concatenate([one, other])))
-                similar.append((least + of) * shared >= least * (len(one) + len(other)))
-            yield batch.select(["hub", "id"]).filter(pa.array(similar, pa.bool_()))
-
-    return both.select("hub", "id", "a", "b").mapInArrow(verified, "hub bigint, id bigint")
-
-
-def _apart(left: DataFrame, found: DataFrame) -> DataFrame:
+    similar = (least + of) * F.size(F.array_intersect("a", "b")) >= least * (F.size("a") + F.size("b"))
+    return held(sets, similar).select("hub", "id")
+
+
+def _apart(left: DataFrame, found: DataFrame, number: int) -> DataFrame:
     """Of the lines ``left`` (band, id) of each band, those of bands that hold several components.
 
-    Adds ``component``, the band's ``largest`` component, and ``rest``, the number of lines outside it.
+    Adds ``component``, the band's ``largest`` component, ``other``, a line of that one, and ``rest``, the number of lines outside it.
     """
     named = left.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    some = F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("h"), "id"))["id"]
+    sizes = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), some.alias("other"))
     bands = sizes.groupBy("band").agg(
-        F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("rest")
+        F.max(F.struct("n", "component", "other")).alias("most"), (F.sum("n") - F.max("n")).alias("rest")
     )
-    return named.join(bands.where("rest > 0"), "band")
+    bands = bands.where("rest > 0").select("band", "rest", F.col("most.component").alias("largest"), F.col("most.other").alias("other"))
+    return named.join(bands, "band")
+
+
+def _tried(left: DataFrame) -> DataFrame:
+    """(hub, id): of each line outside its bands' largest components up to TRIES pairs with lines of these."""
+    outside = left.where("component != largest").groupBy("id").agg(F.collect_set("other").alias("others"))
+    return _pairs(outside.select("id", F.explode(F.slice("others", 1, TRIES)).alias("other")))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("other", "id").alias("hub"), F.greatest("other", "id").alias("id")).distinct()
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` with the components of linked lines made one; components are joined instead of their lines."""
+    of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
+    ends = links.join(of("hub"), "hub", "left").join(of("id"), "id", "left")
+    ends = ends.select(F.coalesce("hub_component", "hub").alias("a"), F.coalesce("id_component", "id").alias("b"))
+    joined = connected(ends, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    moved = found.join(joined, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    new = joined.select(F.col("component").alias("id"), F.col("root").alias("component"))
+    return written(moved.union(new).groupBy("id").agg(F.min("component").alias("component")), "found")
 
 
-def _linked(near: DataFrame, texts: DataFrame, found: DataFrame, pivots: int = PIVOTS) -> DataFrame:
-    """(id, component) when, besides each band's hub, all lines of a band that are not yet in one component were compared.
+def _linked(left: DataFrame, texts: DataFrame, found: DataFrame, compared: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """(id, component) when all lines of a band that are not yet in one component were compared.
 
-    ``near`` has (band, id) without the hubs, ``found`` the components by the hubs. In each round about ``pivots`` lines of
-    a band outside its largest component are compared with all its lines of other components and leave the band. Most
-    groups have come together after one round; others get eight times as many pivots in the next, until none is left.
+    ``left`` has (band, id), ``found`` the components by the pairs ``compared``. First each line outside its band's largest
+    component tries a few lines of it, which brings most lines of a crowded band together. Then, in each round, about ``pivots``
+    lines of a band outside its largest component are compared with all its lines of other components and leave the band; others
+    get eight times as many pivots in the next, until none is left. No pair is compared twice.
     """
-    left, number = near, 0
+    number = 0
     while True:
-        left = written(_apart(left.select("band", "id"), found), "apart")
+        left = written(_apart(left.select("band", "id"), found, number), "apart")
         if left.isEmpty():
             return found
-        # a pivot of one band is mostly one of its other bands too, so few different pairs come of many bands
-        chosen = F.pmod(F.xxhash64("id", F.lit(number)), F.col("rest")) < pivots
-        pivot = (F.col("component") != F.col("largest")) & chosen
-        first = left.where(pivot).select("band", F.col("id").alias("hub"), F.col("component").alias("own"))
-        pairs = left.join(first, "band").where("component != own").select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id"))
-        links = _similar(written(pairs.distinct(), "pairs"), texts)
-        # components are joined instead of their lines
-        of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
-        ends = links.join(of("hub"), "hub", "left").join(of("id"), "id", "left")
-        ends = ends.select(F.coalesce("hub_component", "hub").alias("a"), F.coalesce("id_component", "id").alias("b"))
-        joined = connected(ends, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("root"))
-        moved = found.join(joined, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
-        new = joined.select(F.col("component").alias("id"), F.col("root").alias("component"))
-        found = written(moved.union(new).groupBy("id").agg(F.min("component").alias("component")), "found")
-        left, pivots, number = left.where(~pivot), 8 * pivots, number + 1
+        if number == 0:
+            pairs = _tried(left)
+        else:
+            # a pivot of one band is mostly one of its other bands too, so few different pairs come of many bands
+            chosen = F.pmod(F.xxhash64("id", F.lit(number)), F.col("rest")) < pivots
+            pivot = (F.col("component") != F.col("largest")) & chosen
+            first = left.where(pivot).select("band", F.col("id").alias("_pivot"), F.col("component").alias("own"))
+            pairs = _pairs(left.drop("other").join(first, "band").where("component != own").select("id", F.col("_pivot").alias("other")))
+            left, pivots = left.where(~pivot), 8 * pivots
+        pairs = written(pairs.join(compared, ["hub", "id"], "left_anti"), "pairs")
+        found = _joined(found, _similar(pairs, texts))
+        compared, number = compared.union(pairs), number + 1
 
 
 def _near(lines: DataFrame) -> DataFrame:
     """(band, hub, id) of the bands of several lines (id, line); the hub, a band's smallest line, is left out."""
-    rows = written(banded(lines), "bands").select("id", F.explode("bands").alias("band"))
+    rows = written(_band_rows(lines), "bands")
     shared = written(
         rows.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last").select("band", "hub"), "shared"
     )
@@ -283,12 +202,14 @@ def line_components(docs: DataFrame) -> DataFrame:
     """(id, component) of the lines that are similar to a different line; ids are hashes of the line."""
     lines = _lines(docs).select(F.xxhash64("line").alias("id"), "line")
     near = settled("near", lambda: _near(lines))
-    pairs = written(near.select("hub", "id").distinct(), "pairs")
-    named = pairs.select("id").union(pairs.select("hub")).distinct()
+    named = near.select("id").union(near.select("hub")).distinct()
     texts = _maybe_in(lines, "id", _filter(named, "id")).join(named, "id", "left_semi").dropDuplicates(["id"])
-    texts = written(_measured(texts), "lines")
+    texts = written(texts, "lines")
+    # a hub is its band's smallest line, so the smallest is the one most lines of a crowd have in common
+    pairs = written(near.groupBy("id").agg(F.min("hub").alias("hub")).select("hub", "id"), "pairs")
     found = written(connected(_similar(pairs, texts), "hub", "id").withColumnRenamed("node", "id"), "found")
-    return _linked(near, texts, found)
+    banded = near.select("band", "id").union(near.select("band", "hub").distinct())
+    return _linked(banded, texts, found, pairs)
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -307,8 +228,8 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     first = placed.groupBy("component").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first != last")
     later = placed.join(first, "component").where(order != F.col("first"))
     dropped = later.groupBy("key").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
-    has_word = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: line.rlike(_HAS_WORD))
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.size(has_word).cast("bigint").alias("n_lines"))
+    n_lines = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_LINE_START)).cast("bigint")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", n_lines.alias("n_lines"))
     return rows.join(dropped, "key", "left").select(
         "key", "doc_id", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped")
     )

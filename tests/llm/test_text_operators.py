@@ -170,6 +170,16 @@ def test_hub_pairs_grow_with_the_lines(spark):
     assert found[1] <= 0.02 * 1200
 
 
+def test_lines_are_compared_without_python(spark):
+    """Bands, their groups and similarities are worked out by built-in functions alone."""
+    docs = spark.createDataFrame([(i, edited(prose(4, 60).replace("\n", " "), i)) for i in range(150)], "id bigint, line string")
+    pairs = docs.where("id > 0").select(F.lit(0).cast("bigint").alias("hub"), "id")
+    for table in (lines.banded(docs), lines._near(docs), lines._similar(pairs, docs)):
+        plan = table._jdf.queryExecution().toString()
+        assert "Arrow" not in plan and "Python" not in plan
+    assert lines._similar(pairs, docs).count() > 140
+
+
 def test_kept_lines(spark):
     docs = spark.createDataFrame(
         [(1, "first line here\n\nsecond", "u", 9), (2, "second\nown text", "v", 9), (3, "second", "w", 9), (4, None, "x", None), (5, "", "y", 0)],
