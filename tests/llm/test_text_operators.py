@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -484,3 +485,39 @@ def test_the_network_learns_from_every_window(spark, ranks, monkeypatch):
     monkeypatch.setattr(attention, "Network", type("Counting", (attention.Network,), {"train": train}))
     attention.fit_coded(cut, ranks, queries.PATTERN)
     assert seen.value == want
+
+
+def test_texts_are_coded_as_each_word_alone(ranks):
+    """By the tokenizer itself, in whatever parts the texts come; white space is that of ASCII."""
+    coder = attention.subwords(ranks, queries.PATTERN)
+    texts = [None, "", "  \n", " Two  words\t", "\x1cx\x85y z \x0bé", "ÉÄ ß İ", *[prose(i, 40 * i) for i in range(9)], "tail"]
+    want = [[w.lower() for w in (t or "").encode().split()] for t in texts]
+    alone = [[i for w in own for i in coder._coder.encode_ordinary(" " + w.decode())] + [coder.end] for own in want]
+    ids, sizes, n_words = coder.encode(pa.array(texts))
+    assert ids.tolist() == [i for own in alone for i in own]
+    assert sizes.tolist() == [len(own) for own in alone] and n_words.tolist() == [len(own) + 1 for own in want]
+    assert [coder.ids(t).tolist() for t in texts] == alone
+
+
+def test_chunks_are_full_however_rows_are_batched(spark, ranks):
+    """A chunk ends where it is full, not where a batch of rows ends: small chunks cost passes and copies of the network."""
+    docs = spark.createDataFrame([(i, prose(i, 60)) for i in range(200)], "doc_id bigint, text string").coalesce(1)
+    coder = attention.subwords(ranks, queries.PATTERN)
+    sizes = [len(coder.ids(prose(i, 60))) for i in range(200)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 7)
+        found = attention.coded(docs, ranks, queries.PATTERN, F.col("doc_id") % 5 != 1, chunk_ids=2000).orderBy("chunk").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert [i for r in found for i in r.doc_ids] == list(range(200)) and [n for r in found for n in r.sizes] == sizes
+    assert all(2000 < sum(r.sizes) <= 2000 + max(sizes) for r in found[:-1])
+    ids = [coder.ids(prose(i, 60)) for r in found for i in r.doc_ids]
+    before, after = attention._with_previous(ids, coder.end)
+    learned = np.repeat([i % 5 != 1 for i in range(200)], sizes)
+    counts = Counter(zip(before[learned].tolist(), after[learned].tolist()))
+    got = Counter()
+    for r in found:
+        got.update({(p >> 20, p & (1 << 20) - 1): n for p, n in zip(r.pairs, r.times) if n})
+    assert got == counts
