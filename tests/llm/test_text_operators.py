@@ -1,14 +1,16 @@
 import hashlib
 import math
+import os
 import random
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 
-from hourweave.llm import attention, language, lines, mixing, pieces, quality, queries, similar, substrings, unigrams
+from hourweave.llm import attention, language, lines, mixing, pieces, quality, queries, scratch, similar, substrings, unigrams
 from pyspark.sql import functions as F
 from tests.llm.helpers import edited, groups, none, odd, prose, rows, words
 
@@ -521,3 +523,51 @@ def test_chunks_are_full_however_rows_are_batched(spark, ranks):
     for r in found:
         got.update({(p >> 20, p & (1 << 20) - 1): n for p, n in zip(r.pairs, r.times) if n})
     assert got == counts
+
+
+def test_blocks_and_flat_weights_change_no_step(monkeypatch):
+    """Windows in blocks give the gradients of all at once, and training is Adam on each array of weights."""
+    r = np.random.default_rng(4)
+    n = 60
+    x, y = r.integers(0, 200, (n, attention.CONTEXT)), r.integers(0, attention.OWN_CLASSES, (n, attention.CONTEXT))
+    own, pair = (r.random(x.shape).astype(np.float32) for _ in range(2))
+    weight = (r.random(x.shape) < 0.9).astype(np.float32)
+    net, plain = attention.Network(3), attention.Network(3)
+    in_blocks = {k: v.copy() for k, v in net.gradients(x, y, own, pair, weight).items()}
+    with monkeypatch.context() as m:
+        m.setattr(attention, "_BLOCK", n)
+        for k, v in net.gradients(x, y, own, pair, weight).items():
+            assert np.array_equal(v, in_blocks[k]), k
+    net.train(x, y, own, pair, weight, passes=2, batch=20, rates=(4e-3, 1e-3))
+    order = np.random.default_rng(1)
+    parts = [rows for _ in range(2) for rows in np.array_split(order.permutation(n), 3)]
+    mean, square = ({k: np.zeros_like(v) for k, v in plain.p.items()} for _ in range(2))
+    for step, rows in enumerate(parts, 1):
+        now = min(1, step / 20) * (4e-3 + (1e-3 - 4e-3) * step / len(parts))
+        for k, d in plain.gradients(x[rows], y[rows], own[rows], pair[rows], weight[rows]).items():
+            mean[k] += np.float32(0.1) * (d - mean[k])
+            square[k] += np.float32(0.01) * (d * d - square[k])
+            plain.p[k] -= now * mean[k] / (1 - 0.9**step) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
+    for k, v in plain.p.items():
+        assert net.p[k] == pytest.approx(v, rel=1e-5, abs=1e-6), k
+
+
+def test_chunks_meet_their_counts_once_and_free_the_disk(spark, ranks):
+    docs = spark.createDataFrame([(i, prose(i, 60)) for i in range(60)], "doc_id bigint, text string").repartition(3)
+    with scratch.short_shuffles(spark):
+        cut = attention.coded(docs, ranks, queries.PATTERN, F.col("doc_id") % 5 != 1, chunk_ids=1000)
+        asked = {r.chunk: r for r in cut.collect()}
+        counts = attention.counted(cut, ranks, queries.PATTERN)
+        chunks = attention.met(cut, counts, spent=True).collect()
+    assert len(asked) > 8 and sorted(r.chunk for r in chunks) == sorted(asked)
+    whole = dict(counts.table.collect())
+    for r in chunks:
+        was = asked[r.chunk]
+        assert (r.keys, r.doc_ids, r.sizes, r.learned, r.ids, r.turn) == (was.keys, was.doc_ids, was.sizes, was.learned, was.ids, was.turn)
+        found = dict(zip(np.cumsum(substrings._unplaned(r.met, "<i8")).tolist(), substrings._unplaned(r.n, "<i8").tolist()))
+        pairs = np.array(was.pairs)
+        want = [*was.pairs, *attention._group(pairs >> 20, counts.cls[pairs & attention._MASK]).tolist()]
+        assert {k: n for k, n in found.items() if n} == {k: whole[k] for k in want if k in whole}
+    path = cut.inputFiles()[0].rpartition("/turn=")[0]
+    assert not any(files for _, _, files in os.walk(urlparse(path).path) if any(f.startswith("part-") for f in files))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
